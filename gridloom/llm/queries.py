@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import knn, packing, pii, warc
+from . import knn, langid, packing, pii, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +18,21 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.identify(documents, keep=["doc_id"], declared="lang", host="source")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels"), "quality"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, folder = warc.archive(table(spark, sf_dir, "pages"))
     return warc.read_records(members, folder)
@@ -33,7 +43,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op4_best_fit_packing, op8_warc, op9_exact_top_k)}
+    return {f.__name__: f for f in (op2_pii, op3_language_id, op4_best_fit_packing, op5_quality, op8_warc, op9_exact_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
