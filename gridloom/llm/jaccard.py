@@ -318,6 +318,19 @@ def join(documents: DataFrame, threshold: float = 0.8, recall: float = 0.9999, a
     joined = components(found.filter("b is not null").select("a", "b")).select(F.col("node").alias("rid"), "root")
     members = stage(distinct.join(joined, "rid", "left").join(counts, "rid", "left").withColumn("root", F.coalesce("root", "rid")), "jaccard-members")
     classes = members.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    members = stage(members.join(classes, "root").select(*same, "class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "jaccard-classes")
-    out = all_rows.join(members, same, "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "rid")
+    members = stage(members.join(classes, "root").select(*same, "class_id", F.col("root").alias("cls"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "jaccard-classes")
+    out = all_rows.drop("sketch").join(members, same, "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "rid", "th", F.coalesce("cls", "rid").alias("cls"), "size")
+
+
+def representatives(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``documents`` with one row of each class, that of the smallest doc_id; texts without words all stay."""
+    classes = stage(join(documents, threshold), "jaccard-kept")
+    first = classes.groupBy("cls").agg(F.min(F.struct("doc_id", "th", "size")).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th"), F.col("k.size").alias("k_size"))
+    kept = stage(first.distinct(), "jaccard-keys")
+    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), th.alias("th")).join(kept, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")))
+    if not classes.filter("size > 0").groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
+        # rows that are equal in id and text are copies of each other
+        out = out.filter("k_size = 0").unionByName(out.filter("k_size > 0").dropDuplicates(["id", "th"]))
+    return out.select(*[F.col("row")[c].alias(c) for c in documents.columns])

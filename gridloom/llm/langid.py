@@ -14,7 +14,8 @@ The trigram tables are fitted on a bounded sample of declared rows
 Null or empty text has no text evidence: its language comes from the rest and
 the row is rejected. Null declarations, hosts and addresses count as unknown.
 Repeated rows each get their own result. An empty table gives no rows. Extra
-columns pass through where the rows do.
+columns pass through where the rows do; an input column named like a result
+column is replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .common import stage, text_chunks
 
 BITS = 16
+RESULT = ("language", "posterior", "accepted")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[48:58] = 48
@@ -96,8 +98,8 @@ def add_likelihoods(rows: DataFrame, model: np.ndarray, weight: float = 1 / 3) -
     return rows.mapInArrow(score, schema)
 
 
-def evidence(df: DataFrame, text: str = "text", declared: str | None = None, host: str | None = None, markup: str | None = None, address: str | None = None) -> DataFrame:
-    """``df`` with declared, host and suffix: from columns, or from markup and addresses."""
+def evidence(df: DataFrame, text: str = "text", declared: str | None = None, host: str | None = None, markup: str | None = None, address: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The rows (in ``row``) with text, declared, host and suffix: from columns, or from markup and addresses."""
     none = F.lit(None).cast("string")
     lang = F.col(declared).cast("string") if declared else none
     if markup:
@@ -106,7 +108,7 @@ def evidence(df: DataFrame, text: str = "text", declared: str | None = None, hos
     if address:
         name = F.coalesce(name, F.nullif(F.lower(F.regexp_extract(F.col(address), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit("")))
     suffix = F.nullif(F.regexp_extract(name, r"\.([A-Za-z0-9-]+)$", 1), F.lit(""))
-    return df.select("*", F.lower(lang).alias("declared"), F.coalesce(name, F.lit("")).alias("host"), F.coalesce(suffix, F.lit("")).alias("suffix"))
+    return df.select(F.struct(*(keep or df.columns)).alias("row"), F.col(text).cast("string").alias("text"), F.lower(lang).alias("declared"), F.coalesce(name, F.lit("")).alias("host"), F.coalesce(suffix, F.lit("")).alias("suffix"))
 
 
 def _best(scores: Column) -> Column:
@@ -156,16 +158,15 @@ def identify(df: DataFrame, text: str = "text", keep: list[str] | None = None, s
     has those columns only and comes from what is staged; else the rows are
     scored once more as they pass, and texts are never shuffled.
     """
-    rows = evidence(df.select(*[F.col(c) for c in df.columns if c not in ("text", "declared", "host", "suffix", "loglik")], F.col(text).cast("string").alias("text")) if keep is not None else df.withColumn("text", F.col(text).cast("string")), **sources)
+    rows = evidence(df, text, keep=keep, **sources)
     # the evidence decides about languages: rows that declare none of the learned ones count as undeclared
     languages = declared_languages(rows)
     names = [name for name, _ in languages]
     rows = rows.withColumn("declared", F.when(F.col("declared").isin(names), F.col("declared")) if names else F.lit(None).cast("string"))
     model = fit(rows, languages, sample_rows)
     has_text = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
-    kept = list(dict.fromkeys(keep or []))
-    narrow = stage(add_likelihoods(rows.select(*kept, "declared", "host", "suffix", "text"), model).withColumn("has_text", has_text).drop("text"), "langid-scores")
+    narrow = stage(add_likelihoods(rows if keep is not None else rows.drop("row"), model).withColumn("has_text", has_text).drop("text"), "langid-scores")
     learned = tables(narrow, len(names))
-    if keep is not None:
-        return fuse(narrow, names, learned).select(*kept, "declared", "host", "language", "posterior", "accepted")
-    return fuse(add_likelihoods(rows, model), names, learned).select(*df.columns, "language", "posterior", "accepted")
+    scored = narrow if keep is not None else add_likelihoods(rows, model)
+    own = [c for c in (keep or df.columns) if c not in RESULT]
+    return fuse(scored, names, learned).select(*[F.col("row")[c].alias(c) for c in own], *(["declared", "host"] if keep is not None else []), *RESULT)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard, knn, langid, packing, pii, quality, substrings, warc
+from . import decontaminate, jaccard, knn, langid, packing, pii, quality, substrings, training_order, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"), threshold=0.8).drop("rid")
+    return jaccard.join(table(spark, sf_dir, "documents"), threshold=0.8).select("doc_id", "class_id", "n_links")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +54,13 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written, folder = training_order.materialise(table(spark, sf_dir, "documents"))
+    return training_order.read_slots(written, folder).drop("file")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii, op3_language_id, op4_best_fit_packing, op5_quality, op6_substring_dedup, op7_benchmark_decontamination, op8_warc, op9_exact_top_k)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii, op3_language_id, op4_best_fit_packing, op5_quality, op6_substring_dedup, op7_benchmark_decontamination, op8_warc, op9_exact_top_k, op10_training_order)}
 
 
 def oracle_sql() -> dict[str, str]:
