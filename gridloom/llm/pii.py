@@ -132,13 +132,16 @@ def score_patterns(graph: DataFrame, counts: DataFrame, rounds: int = 3, likely:
         edges = stage(edges.drop("heard").join(values, "value", "left").withColumn("belief", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("heard", F.lit(0.0)))).drop("heard"), "pii-edges")
 
 
-def discover(documents: DataFrame, staged: DataFrame, support: int = 5, confident: float = 0.8, rounds: int = 3) -> DataFrame | None:
+def discover(documents: DataFrame, staged: DataFrame, support: int = 5, share: int = 1000, confident: float = 0.8, rounds: int = 3) -> DataFrame | None:
     """doc_id, key, found: spans that good patterns point to; None where no pattern is induced."""
     known = [F.transform(k, _tagged(k)) for k in KINDS]
     rows = staged.select(F.inline(F.concat(*known, F.transform("other", _tagged(None)))))
     rows = rows.select("kind", F.lower("span.value").alias("value"), _pattern(F.col("span.context")).alias("pattern")).filter("pattern is not null")
     graph = stage(rows.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")), "pii-graph")
     # a pattern that never precedes enough different values can't become a good one
+    seeds = graph.agg(F.sum(F.when(F.col("kind").isNotNull(), F.col("n")))).first()[0] or 0
+    # a fixed share of all seeds, so that as many patterns qualify at every size
+    support = max(support, -(-seeds // share))
     induced = stage(graph.groupBy("pattern").agg(F.count_distinct("value").alias("values"), F.count("kind").alias("seeds"), F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("n"))).alias("kind")).filter((F.col("values") >= support) & (F.col("seeds") > 0)).select("pattern", "kind"), "pii-patterns")
     if induced.isEmpty():
         return None
