@@ -14,7 +14,6 @@ ignored.
 
 from __future__ import annotations
 
-import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -26,38 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stage, text_chunks
+from .tokens import WordIds
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 PACKED = PIECES + ", sequence_id long, offset long, fill long"
 
 
-class WordIds:
-    """Token ids of words as little-endian unsigned 32-bit bytes.
-
-    A word-level tokenizer never joins across white space, so a text's ids
-    are those of its words; words are tokenised once while they are held.
-    """
-
-    def __init__(self, path: str, held: int = 400_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.held, self.known = Tokenizer.from_file(path), held, {}
-
-    def documents(self, texts: list[bytes]) -> Iterator[bytes]:
-        words = [t.split() for t in texts]
-        if len(self.known) > self.held:
-            self.known.clear()
-        known = self.known
-        new = [w for w in set().union(*words) if w not in known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        for w in words:
-            yield b"".join(map(known.__getitem__, w))
-
-
 def pieces(documents: DataFrame, tokenizer: str | None, max_tokens: int = 4096, end_id: int = 1) -> DataFrame:
     """A row for every piece of at most ``max_tokens`` ids of every document (doc_id, text).
 
@@ -66,12 +39,7 @@ def pieces(documents: DataFrame, tokenizer: str | None, max_tokens: int = 4096,
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = tokenizer
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path("word_bpe_49k.json")
-        word_ids, end, step, n = WordIds(path), np.asarray([end_id], "<u4").tobytes(), 4 * max_tokens, TaskContext.get().partitionId() << 40
+        word_ids, end, step, n = WordIds(tokenizer), np.asarray([end_id], "<u4").tobytes(), 4 * max_tokens, TaskContext.get().partitionId() << 40
         for batch, texts in text_chunks(batches, "text"):
             rows = []
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), word_ids.documents(texts), strict=True):
