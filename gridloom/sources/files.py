@@ -51,9 +51,9 @@ def read_block_range(spark: SparkSession, path: str, low: int, high: int) -> Dat
 def read_gmsh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """node(id, x, y, z) and element(id, kind, nodes) of Gmsh 2.2 text files; a mesh file is one row."""
     kinds = {1: "line", 2: "tri", 4: "tet"}
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     section = lambda name: F.regexp_extract("value", rf"(?s)\${name}\s+\d+\s+(.*?)\s*\$End{name}", 1)
-    lines = lambda name: whole.select(F.split(F.explode(F.split(section(name), r"\r?\n")), r"\s+").alias("p")).filter(F.size("p") >= 4)
+    lines = lambda name: whole.select(F.explode(F.split(section(name), r"\r?\n")).alias("l")).select(F.split("l", r"\s+").alias("p")).filter(F.size("p") >= 4)
     nodes = lines("Nodes").select(F.col("p")[0].cast("int").alias("id"), *[F.col("p")[i + 1].cast("double").alias(c) for i, c in enumerate("xyz")])
     kind = F.element_at(F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), F.lit(v))]), F.col("p")[1].cast("int"))
     tags = F.col("p")[2].cast("int")
