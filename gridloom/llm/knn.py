@@ -30,6 +30,7 @@ from .common import stage
 PIVOTS = 48
 GROUP_QUERIES = 512
 BLOCK_ROWS = 4096
+MOST = 2**63 - 1
 ASSIGNED = "vec_id long, v binary, cell int, dist double, norm double, is_query boolean, salt long"
 
 
@@ -49,14 +50,14 @@ def _matrix(vectors: list[np.ndarray], width: int) -> np.ndarray:
 
 
 def scores(queries: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """Exact integer inner products; in doubles where these hold them exactly."""
+    """Exact integer inner products; in doubles where these hold them exactly. What 64 bits can't hold is ``MOST``."""
     top = (np.abs(queries).max(initial=0) * np.abs(data).max(initial=0)) * queries.shape[1]
     if top < 2**53:
         return (queries @ data.T).astype(np.int64)
-    exact = queries.astype(object).dot(data.T.astype(object)) if queries.shape[1] else np.zeros((len(queries), len(data)), object)
-    if exact.size and max(abs(int(exact.max())), abs(int(exact.min()))) >= 2**63:
-        raise OverflowError("a score doesn't fit into 64 bits")
-    return np.vectorize(int, otypes=[np.int64])(exact) if exact.size else exact.astype(np.int64)
+    if not queries.size or not data.size:
+        return np.zeros((len(queries), len(data)), np.int64)
+    exact = np.vectorize(int, otypes=[object])(queries).dot(np.vectorize(int, otypes=[object])(data).T)
+    return np.clip(exact, -MOST, MOST).astype(np.int64)
 
 
 def pivots(vectors: DataFrame, n: int) -> np.ndarray:
@@ -122,9 +123,10 @@ def plan(centres: np.ndarray, s: dict[str, np.ndarray], k: int, group_queries: i
     least = bounds(cell, s["rings"][:, 1][None] + slack)[0]
     order = np.argsort(-least, axis=1)
     held = np.cumsum(s["rings"][:, 2][order], axis=1)
-    at = np.argmax(held >= k, axis=1)[:, None]
-    enough = held[:, -1] >= k if held.shape[1] else np.zeros(len(centres), bool)
-    threshold = np.where(enough, np.take_along_axis(np.take_along_axis(least, order, 1), at, 1)[:, 0], -np.inf) if held.shape[1] else np.full(len(centres), -np.inf)
+    threshold = np.full(len(centres), -np.inf)
+    if held.shape[1] and held[0, -1] >= k:
+        at = np.argmax(held >= k, axis=1)[:, None]
+        threshold = np.take_along_axis(np.take_along_axis(least, order, 1), at, 1)[:, 0]
     upper = bounds(np.arange(len(centres)), s["top"][None] + slack)[1]
     needed = (upper >= threshold[:, None] - rest) & (s["n"][None] > 0) & (s["nq"][:, None] > 0)
     # merge query cells with the most similar needs, in order of the data that they need
@@ -180,6 +182,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, n_pivots: int = PIVOT
                     keep = np.ones(len(best), bool)
                     keep[1:] = (ids[best][1:] != ids[best][:-1]) | (row[best][1:] != row[best][:-1])
                     best = best[keep][:k]
+                    if len(best) and max(row[best].max(), -row[best].min()) >= MOST:
+                        raise OverflowError("a score doesn't fit into 64 bits")
                     out.append((np.full(len(best), qid), ids[best], row[best]))
         cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3)]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})

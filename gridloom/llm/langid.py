@@ -163,6 +163,10 @@ def identify(df: DataFrame, text: str = "text", keep: list[str] | None = None, s
     languages = declared_languages(rows)
     names = [name for name, _ in languages]
     rows = rows.withColumn("declared", F.when(F.col("declared").isin(names), F.col("declared")) if names else F.lit(None).cast("string"))
+    if not names:
+        # nothing to learn from: no language is known, and no row accepted
+        own = [c for c in (keep or df.columns) if c not in RESULT]
+        return rows.select(*[F.col("row")[c].alias(c) for c in own], *(["declared", "host"] if keep is not None else []), F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
     model = fit(rows, languages, sample_rows)
     has_text = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
     narrow = stage(add_likelihoods(rows if keep is not None else rows.drop("row"), model).withColumn("has_text", has_text).drop("text"), "langid-scores")
