@@ -102,10 +102,10 @@ def quantize_error(spark, d):
 @query(f"""
     with e as (select l_orderkey, l_linenumber, {_Q} as q from lineitem)
     select l_orderkey, l_linenumber, case when q + 2048 between 0 and 4095 then q + 2048 else 0 end as symbol,
-           case when q + 2048 between 0 and 4095 then null else q end as outlier, q as restored from e""")
+           case when q + 2048 between 0 and 4095 then 0 else q end as outlier, q as restored from e""")
 def outlier_split(spark, d):
     rows = measures.split_outliers(_quantized(spark, d), "q", 4096)
-    return rows.select("l_orderkey", "l_linenumber", "symbol", "outlier", measures.restored(F.col("symbol"), F.col("outlier"), 4096).alias("restored"))
+    return rows.select("l_orderkey", "l_linenumber", "symbol", F.coalesce("outlier", F.lit(0)).alias("outlier"), measures.restored(F.col("symbol"), F.col("outlier"), 4096).alias("restored"))
 
 
 @query("select l_returnflag, cast(l_quantity as bigint) as q, count(*) as n from lineitem group by all")
