@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -42,9 +43,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.gridloom_path = path
+    release(spark)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs: it does so once the driver has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete a staged table that nothing will read again."""
     spark, path = df.sparkSession, df.gridloom_path

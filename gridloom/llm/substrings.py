@@ -53,7 +53,7 @@ class WordHashes:
     """Two 64-bit hashes of each word; words are held while there is room."""
 
     def __init__(self, held: int = 500_000):
-        self.held, self.known, self.low, self.high = held, {}, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.held, self.known, self.both = held, {}, np.empty((1 << 16, 2), np.uint64)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         import xxhash
@@ -61,14 +61,16 @@ class WordHashes:
         known = self.known
         if len(known) > self.held:
             known.clear()
-            self.low = self.high = np.zeros(0, np.uint64)
         new = list(set(words).difference(known))
         if new:
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, new)), "<u8")
-            self.low, self.high = np.concatenate([self.low, both[::2]]), np.concatenate([self.high, both[1::2]])
+            start, end = len(known), len(known) + len(new)
+            while end > len(self.both):
+                self.both = np.concatenate([self.both, np.empty_like(self.both)])
+            known.update(zip(new, range(start, end), strict=True))
+            self.both[start:end] = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, new)), "<u8").reshape(-1, 2)
         at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        return self.low[at], self.high[at]
+        both = self.both[at]
+        return both[:, 0], both[:, 1]
 
 
 def rolled(h: np.ndarray, n: int, which: int) -> np.ndarray:
@@ -103,8 +105,13 @@ def anchors(low: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return grams[_slid(padded, span, False) == grams]
 
 
-def window_hashes(low: np.ndarray, high: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    return rolled(low, window, 1), rolled(high, window, 2)
+def window_hashes(low: np.ndarray, high: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window that starts at one of ``at``."""
+    one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for j in range(window):
+        one += low[at + j] * _PLACES[1, j]
+        two += high[at + j] * _PLACES[2, j]
+    return mixed(one), mixed(two)
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -140,25 +147,26 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 
 def _windows(stretches: DataFrame, window: int) -> DataFrame:
-    """The windows of the staged texts whose anchors repeat: hashes, and where they start."""
+    """The windows of the staged texts whose anchors repeat: hashes, where they start, whether the document had (again) or has (more) the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch, texts in text_chunks(batches, "text"):
-            ids, docs, ths, parts = batch["rid"].to_numpy(), batch["doc_id"], batch["th"].to_numpy(), []
+            places, parts = batch["place"].to_numpy(), []
             for i, (text, held) in enumerate(zip(texts, batch["held"], strict=True)):
                 low, high = hashes(text.split())
                 at = np.flatnonzero(np.isin(_signed(window_anchors(low, window)[0]), held.values.to_numpy()))
-                one, two = window_hashes(low, high, window)
-                parts.append((np.full(len(at), i), at, one[at], two[at]))
-            which, at, one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(one)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), docs.take(pa.array(which)), pa.array(ths[which]), pa.array(ids[which]), pa.array(at.astype(np.int32))], names=["w1", "w2", "doc_id", "th", "rid", "pos"])
+                one, two = window_hashes(low, high, at, window)
+                _, first, back, n = np.unique(one, return_index=True, return_inverse=True, return_counts=True)
+                parts.append((np.full(len(at), i), at, one, two, first[back] != np.arange(len(at)), n[back] > 1))
+            which, at, one, two, again, more = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(one)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(places[which]), pa.array(at.astype(np.int32)), pa.array(again), pa.array(more)], names=["w1", "w2", "place", "pos", "again", "more"])
 
-    return stretches.mapInArrow(run, "w1 long, w2 int, doc_id long, th long, rid long, pos int")
+    return stretches.mapInArrow(run, "w1 long, w2 int, place long, pos int, again boolean, more boolean")
 
 
 def _removed(stretches: DataFrame, window: int) -> DataFrame:
-    """rid, n_words, n_removed, kept_sha256: the words that duplicate windows (starts: ``repeats``) cover are taken out."""
+    """rid, gone, left_sha256: the words that duplicate windows (starts: ``repeats``) cover are taken out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,16 +193,18 @@ def deduplicate(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     first = index.select("rid", "anchors").filter(F.size("anchors") > 0).join(rows.filter("copy").select(F.col("rid")), "rid", "left_anti").select("rid", F.explode("anchors").alias("h"))
     repeated = first.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     held = first.join(repeated, "h").groupBy("rid").agg(F.collect_set("h").alias("held"))
-    wanted = stage(rows.select("rid", "doc_id", "th").join(held, "rid"), "substr-held")
-    texts = _keyed(documents).alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th")))
+    wanted = rows.select("rid", "doc_id", "th").join(stage(held, "substr-held"), "rid")
+    # numbers in the order of the documents, one for each row
+    wanted = stage(wanted.orderBy("doc_id", "th", "rid").withColumn("place", F.monotonically_increasing_id()), "substr-places")
+    texts = _keyed(documents).alias("d").join(wanted.alias("w").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th")))
     # the columns that the rest needs, once per row even where equal rows repeat
-    stretches = stage(texts.select("w.rid", "w.doc_id", "w.th", "w.held", "d.text"), "substr-texts")
+    stretches = stage(texts.select("w.rid", "w.place", "w.held", "d.text"), "substr-texts")
     windows = _windows(stretches, window)
-    at = F.struct("doc_id", "th", "rid", "pos")
-    earliest = windows.groupBy("w1", "w2").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first != last").select("w1", "w2", "first")
-    later = windows.join(earliest, ["w1", "w2"]).filter(F.struct("rid", "pos") != F.struct("first.rid", "first.pos"))
-    repeats = later.groupBy("rid").agg(F.collect_set("pos").alias("repeats"))
-    removed = _removed(stretches.select("rid", "text").join(repeats, "rid"), window).dropDuplicates(["rid"])
+    earliest = windows.filter("not again").groupBy("w1", "w2").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.max("more").alias("more")).filter("first != last or more").select("w1", "w2", "first")
+    earliest = stage(earliest, "substr-earliest")
+    later = windows.drop("more").join(earliest, ["w1", "w2"]).filter("again or place > first")
+    repeats = stage(later.groupBy("place").agg(F.collect_set("pos").alias("repeats")), "substr-repeats")
+    removed = _removed(stretches.select("rid", "place", "text").join(repeats, "place"), window).dropDuplicates(["rid"])
     none = hashlib.sha256(b"").hexdigest()
     out = rows.join(stage(removed, "substr-removed"), "rid", "left")
     return out.select("doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"), F.when(F.col("copy"), F.lit(none)).otherwise(F.coalesce("left_sha256", "kept_sha256")).alias("kept_sha256"))
