@@ -304,7 +304,8 @@ def join(documents: DataFrame, threshold: float = 0.8, recall: float = 0.9999, a
     families = components(links).select(F.col("node").alias("rid"), "root")
     placed = _pair_blocks(distinct.select("rid", "size", "copies").join(families, "rid"))
     wanted = stage(placed.join(all_rows.select("rid", "doc_id", "th"), "rid"), "jaccard-families")
-    texts = _keyed(documents).alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th")))
+    # one plan at every size: texts are shuffled once, whatever Spark guesses of the other side
+    texts = _keyed(documents).alias("d").join(wanted.alias("w").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th")))
     rows = _with_shingles(texts.select("w.rid", "w.root", "w.block", "w.blocks", "w.copies", "d.text"))
     # equal rows have one text: once per set is enough
     rows = stage(rows, "jaccard-sets")
@@ -329,7 +330,7 @@ def representatives(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     first = classes.groupBy("cls").agg(F.min(F.struct("doc_id", "th", "size")).alias("k")).select(F.col("k.doc_id").alias("k_id"), F.col("k.th").alias("k_th"), F.col("k.size").alias("k_size"))
     kept = stage(first.distinct(), "jaccard-keys")
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), th.alias("th")).join(kept, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")))
+    out = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), th.alias("th")).join(kept.hint("merge"), F.col("id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th")))
     if not classes.filter("size > 0").groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
         # rows that are equal in id and text are copies of each other
         out = out.filter("k_size = 0").unionByName(out.filter("k_size > 0").dropDuplicates(["id", "th"]))

@@ -191,7 +191,7 @@ def mask(documents: DataFrame) -> DataFrame:
 
     masked = F.aggregate("_spans", start, put, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
     # both sides null-safe: a row without an id keeps its spans
-    joined_rows = keyed.alias("d").join(spans.alias("s"), F.col("d.key").eqNullSafe(F.col("s.key")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
+    joined_rows = keyed.alias("d").join(spans.alias("s").hint("merge"), F.col("d.key").eqNullSafe(F.col("s.key")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
     new = joined_rows.select(*[F.col(f"d.{c}") for c in documents.columns], "_spans").withColumn("_text", F.when(F.col("_spans").isNotNull(), masked).otherwise(text))
     out = [F.col("_text").alias(c) if c == "text" else F.when(F.col("_spans").isNotNull(), F.length("_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
     return new.select(*out)
