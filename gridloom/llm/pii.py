@@ -5,8 +5,9 @@ non-overlapping per kind. The method then bootstraps from them:
 
 * every base span and every other identifier-like token (one with a digit or
   an @) is an instance; the two words before it are its lexical pattern;
-* all occurrences of each pattern are counted in all texts, so a pattern that
-  ordinary words follow scores low;
+* all occurrences of each pattern that precedes ``support`` different values or
+  more are counted in all texts, so a pattern that ordinary words follow scores
+  low; the support is the same for every size of table;
 * patterns and instances score each other over their graph for a few rounds: a
   pattern by the share of its occurrences that are likely personal, an
   instance by the chance that one of its patterns is right;
@@ -39,6 +40,7 @@ KINDS = {
 }
 IP_PARTS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 IDENTIFIER = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+MOST_BITS = 1 << 20
 SPAN = "struct<start:bigint,end:bigint,value:string,context:string>"
 
 
@@ -111,13 +113,24 @@ def base_spans(documents: DataFrame) -> DataFrame:
     return df.select("doc_id", "key", *KINDS, clear.alias("other"))
 
 
+def _wanted(keyed: DataFrame) -> Column:
+    """Whether ``h`` may be a wanted hash: a bit set of bounded size, so that what surely isn't wanted is dropped as it is read."""
+    size = min(MOST_BITS, 1 << max(10, (16 * keyed.count()).bit_length()))
+    place = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(size // 64 - 1)).cast("int")
+    held = [0] * (size // 64)
+    for word, bits in keyed.groupBy(place(F.col("h"))).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))"))).collect():
+        held[word] = bits
+    table = F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>")
+    return F.getbit(F.get(table, place(F.col("h"))), F.col("h").bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def pattern_counts(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """How often each wanted pattern's two words occur in all texts."""
+    """How often each wanted pattern's two words occur in all texts: pairs are counted where they are read, so the join has a row per pattern."""
     words = F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"\s+")
     pairs = documents.select(words.alias("w")).select(F.inline(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))))
-    pairs = pairs.filter("b is not null").select(F.xxhash64("a", "b").alias("h"))
-    keyed = wanted.select("pattern", F.xxhash64(F.split("pattern", " ")[0], F.split("pattern", " ")[1]).alias("h"))
-    return pairs.join(keyed, "h").groupBy("pattern").agg(F.count("*").alias("occurrences"))
+    keyed = stage(wanted.select("pattern", F.xxhash64(F.split("pattern", " ")[0], F.split("pattern", " ")[1]).alias("h")), "pii-wanted")
+    pairs = pairs.filter("b is not null").select(F.xxhash64("a", "b").alias("h")).filter(_wanted(keyed))
+    return pairs.groupBy("h").agg(F.count("*").alias("occurrences")).join(keyed, "h").select("pattern", "occurrences")
 
 
 def score_patterns(graph: DataFrame, counts: DataFrame, rounds: int = 3, likely: float = 0.5) -> DataFrame:
@@ -132,16 +145,13 @@ def score_patterns(graph: DataFrame, counts: DataFrame, rounds: int = 3, likely:
         edges = stage(edges.drop("heard").join(values, "value", "left").withColumn("belief", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("heard", F.lit(0.0)))).drop("heard"), "pii-edges")
 
 
-def discover(documents: DataFrame, staged: DataFrame, support: int = 5, share: int = 1000, confident: float = 0.8, rounds: int = 3) -> DataFrame | None:
+def discover(documents: DataFrame, staged: DataFrame, support: int = 5, confident: float = 0.8, rounds: int = 3) -> DataFrame | None:
     """doc_id, key, found: spans that good patterns point to; None where no pattern is induced."""
     known = [F.transform(k, _tagged(k)) for k in KINDS]
     rows = staged.select(F.inline(F.concat(*known, F.transform("other", _tagged(None)))))
     rows = rows.select("kind", F.lower("span.value").alias("value"), _pattern(F.col("span.context")).alias("pattern")).filter("pattern is not null")
     graph = stage(rows.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")), "pii-graph")
     # a pattern that never precedes enough different values can't become a good one
-    seeds = graph.agg(F.sum(F.when(F.col("kind").isNotNull(), F.col("n")))).first()[0] or 0
-    # a fixed share of all seeds, so that as many patterns qualify at every size
-    support = max(support, -(-seeds // share))
     induced = stage(graph.groupBy("pattern").agg(F.count_distinct("value").alias("values"), F.count("kind").alias("seeds"), F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("n"))).alias("kind")).filter((F.col("values") >= support) & (F.col("seeds") > 0)).select("pattern", "kind"), "pii-patterns")
     if induced.isEmpty():
         return None

@@ -146,6 +146,18 @@ def test_pii_discovers(spark):
     assert got[101]["spans"] == [] and all(len(got[i]["spans"]) == 1 for i in range(40))
 
 
+def test_pii_discovers_in_a_large_table(spark):
+    """A pattern before a few identifiers counts among thousands of others as it does alone; counts are those of all texts."""
+    few = [(i, f"and the secret token: user{i}@host.org is") for i in range(6)] + [(100, "and the secret token: bob#at#host7 is")]
+    many = [(1000 + i, f"the office said my mail: user{i}@host.org and left") for i in range(8000)]
+    for rows in (few, few + many):
+        got = {r["doc_id"]: r for r in pii.find(documents(spark, rows)).filter("doc_id <= 100").collect()}
+        assert [tuple(s) for s in got[100]["spans"]] == [("email", 22, 34)]
+    wanted = spark.createDataFrame([("secret token:",), ("my mail:",), ("not there",)], "pattern string")
+    counts = pii.pattern_counts(documents(spark, few + many + [(5, "my mail: My  MAIL: x"), (6, None)]), wanted)
+    assert {tuple(r) for r in counts.select("pattern", "occurrences").collect()} == {("secret token:", 7), ("my mail:", 8002)}
+
+
 def test_pii_mask(spark):
     df = documents(spark, [(1, "mail a@b.cc or +1 (505) 555-1941!"), (None, "a@b.cc"), (3, None), (1, "mail a@b.cc or +1 (505) 555-1941!")])
     got = sorted((r["doc_id"] or 0, r["text"], r["n_chars"]) for r in pii.mask(df).select("doc_id", F.coalesce("text", F.lit("-")).alias("text"), "n_chars").collect() if r["text"] != "-")
