@@ -3,13 +3,14 @@
 Texts are sets of hashed word shingles. Equal sets form one class at once;
 the join runs over the distinct sets:
 
-1. every set gets a sketch: for each of ``COORDINATES`` hash functions the
-   shingle with the smallest hash, a token sampled so that two sets share it
-   with their Jaccard similarity as probability;
+1. every set gets a sketch: for each of some hash functions the shingle with
+   the smallest hash, a token sampled so that two sets share it with their
+   Jaccard similarity as probability;
 2. each of ``runs`` runs sorts the sets into buckets by a sampled token and
-   splits buckets that are too large by the next one, level by level. The
-   number of runs is what reaches the target recall at the threshold;
-3. small buckets are brute-forced on their sketches; what is still large after
+   splits buckets that are too large by the next one, level by level. Every run
+   has ``LEVELS`` tokens of its own, so runs are independent, and their number
+   reaches the target recall at the threshold for buckets split to the end;
+3. small buckets are brute-forced on ``COORDINATES`` tokens of their sketches; what is still large after
    the last level shares so many samples that all its sets are taken together.
    Both give links in number proportional to the bucket, never all pairs;
 4. connected candidates form a family. Within a family every pair is compared
@@ -46,7 +47,6 @@ BUCKET = 128
 BLOCK_SHINGLES = 60_000
 _rng = np.random.default_rng(5)
 _PLACES = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SKETCH = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(texts: list[bytes], hashes: WordHashes, n: int = SHINGLE) -> list[np.ndarray]:
@@ -70,8 +70,10 @@ def runs_for(recall: float, threshold: float, levels: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**levels))
 
 
-def sketches(documents: DataFrame) -> DataFrame:
-    """rid, doc_id, th, the set's size and hash, and its sketch."""
+def sketches(documents: DataFrame, runs: int) -> DataFrame:
+    """rid, doc_id, th, the set's size and hash, and its sketch: ``LEVELS`` tokens for each run."""
+    width = max(COORDINATES, runs * LEVELS)
+    factors = np.random.default_rng(6).integers(0, 1 << 63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, n = WordHashes(), TaskContext.get().partitionId() << 36
@@ -79,15 +81,15 @@ def sketches(documents: DataFrame) -> DataFrame:
             sets = shingle_sets(texts, hashes)
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             some = np.flatnonzero(sizes)
-            values = np.zeros((len(sets), COORDINATES), np.int32)
+            values = np.zeros((len(sets), width), np.int32)
             whole = np.zeros((2, len(sets)), np.uint64)
             if len(some):
                 flat, starts = np.concatenate([sets[i] for i in some]), np.concatenate([[0], np.cumsum(sizes[some])])[:-1]
-                for c in range(COORDINATES):
-                    mine = np.minimum.reduceat(flat * _SKETCH[c], starts)
+                for c in range(width):
+                    mine = np.minimum.reduceat(flat * factors[c], starts)
                     values[some, c] = (mine >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 whole[0, some], whole[1, some] = np.add.reduceat(flat, starts), np.add.reduceat(mixed(flat), starts)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * COORDINATES), pa.array(values.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * width), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, n + len(sets))), batch["doc_id"], batch["th"], pa.array(sizes), pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64)), lists], names=["rid", "doc_id", "th", "size", "s1", "s2", "sketch"])
             n += len(sets)
 
@@ -99,14 +101,12 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def _coordinate(run: F.Column, level: int) -> F.Column:
-    return F.get("sketch", (run * 7 + level * 11) % COORDINATES)
-
-
 def buckets(sets: DataFrame, runs: int, levels: int = LEVELS, limit: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """Small buckets (key, rid), each set of members once, and large ones that no level could split."""
-    now = sets.select("rid", "sketch", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
-    now = now.select("rid", "run", F.xxhash64("run", _coordinate(F.col("run"), 0)).alias("key"))
+    # a run's tokens go with its rows: splits need no other table
+    paths = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.slice("sketch", r * LEVELS + 1, F.lit(LEVELS)))
+    now = sets.select("rid", F.posexplode(paths).alias("run", "path"))
+    now = now.select("rid", "run", "path", F.xxhash64("run", F.get("path", F.lit(0))).alias("key"))
     small = None
     for level in range(1, levels + 1):
         # two sums over members tell equal buckets of different runs apart from others
@@ -121,7 +121,7 @@ def buckets(sets: DataFrame, runs: int, levels: int = LEVELS, limit: int = BUCKE
         rest = now.join(large, "key")
         if level == levels:
             return small, rest.select("key", "rid")
-        now = stage(rest.join(sets.select("rid", "sketch"), "rid").select("rid", "run", F.xxhash64("key", _coordinate(F.col("run"), level)).alias("key")), "jaccard-split")
+        now = stage(rest.select("rid", "run", "path", F.xxhash64("key", F.get("path", F.lit(level))).alias("key")), "jaccard-split")
 
 
 def _bucket_links(least: int):
@@ -173,7 +173,7 @@ def candidate_links(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
     n = shuffle_partitions(sets.sparkSession)
     # at the threshold far fewer agreements than this have a chance below one in a million
     least = max(1, int(COORDINATES * threshold - 5 * math.sqrt(COORDINATES * threshold * (1 - threshold))))
-    small = small.join(sets.select("rid", "sketch"), "rid").select("key", "rid", "sketch").repartition(n, "key").sortWithinPartitions("key", "rid")
+    small = small.join(sets.select("rid", F.slice("sketch", 1, COORDINATES).alias("sketch")), "rid").select("key", "rid", "sketch").repartition(n, "key").sortWithinPartitions("key", "rid")
     found = small.mapInArrow(_bucket_links(least), "a long, b long")
     centres = large.groupBy("key").agg(F.min("rid").alias("a"))
     return stage(found.unionByName(large.join(centres, "key").filter("a != rid").select("a", F.col("rid").alias("b"))).distinct(), "jaccard-links")
@@ -292,10 +292,10 @@ def _with_shingles(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def join(documents: DataFrame, threshold: float = 0.8, recall: float = 0.9999, assured_levels: int = 2) -> DataFrame:
+def join(documents: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """doc_id, class_id, n_links for every row."""
-    runs = runs_for(recall, threshold, assured_levels)
-    all_rows = stage(sketches(documents), "jaccard-sketches")
+    runs = runs_for(recall, threshold, LEVELS)
+    all_rows = stage(sketches(documents, runs), "jaccard-sketches")
     same = ["size", "s1", "s2"]
     # copies: one set stands for all of them
     distinct = stage(all_rows.filter("size > 0").groupBy(*same).agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "jaccard-distinct")

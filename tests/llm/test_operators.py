@@ -92,6 +92,25 @@ def test_jaccard_large_buckets(spark, monkeypatch):
         assert got[i][0] == (0 if i < 60 else i)
 
 
+def test_jaccard_meets_in_split_buckets(spark, monkeypatch):
+    """Pairs of similarity 0.8, all with one boilerplate of 70 % of their union, meet in some bucket."""
+    rng, held, buckets = np.random.default_rng(11), [], jaccard.buckets
+    monkeypatch.setattr(jaccard, "buckets", lambda *a: held.append(buckets(*a)) or held[-1])
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+    boilerplate, rows = fresh(74), []
+    for i in range(600):
+        both = boilerplate + fresh(10)
+        rows += [(2 * i + k, " ".join(both + fresh(10))) for k in range(2)]
+    got = {r["doc_id"]: r for r in jaccard.join(documents(spark, rows)).collect()}
+    at = collections.defaultdict(set)
+    for part in held[0]:
+        for r in part.collect():
+            at[r["rid"]].add(r["key"])
+    met = [bool(at[got[2 * i]["rid"]] & at[got[2 * i + 1]["rid"]]) for i in range(600)]
+    assert sum(met) >= 599
+    assert all(r["n_links"] == 1 and r["class_id"] == i // 2 * 2 for i, r in got.items())
+
+
 def test_representatives(spark, corpus):
     kept = jaccard.representatives(documents(spark, corpus))
     assert kept.columns == documents(spark, EMPTY).columns
