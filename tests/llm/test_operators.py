@@ -335,6 +335,23 @@ def test_leaks(spark, corpus):
     assert decontaminate.leaks(documents(spark, docs), benchmark.limit(0)).count() == 0
 
 
+def test_leaks_of_a_large_table(spark):
+    """A paraphrase with common words is found whatever the number of documents."""
+    rng = np.random.default_rng(12)
+    items = [(k, " ".join(f"q{k}x{j}" for j in range(36)) + ". The answer is " + f"z{k}") for k in range(5)]
+    common = [w for _, t in items for w in t.replace(".", "").split()]
+    docs = [(i, " ".join(rng.permutation([*(w for w in common if rng.random() < 0.3), *(f"s{x}" for x in rng.integers(0, 9000, 400))]).tolist())) for i in range(60)]
+    for k, t in items:
+        w = t.split()
+        other = set(range(1, 36, 2)[:14])
+        docs.append((500 + k, " ".join(f"o{k}y{j}" if j in other else x for j, x in enumerate(w)) + " " + words(rng, 60)))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for copies in (1, 400):
+        table = documents(spark, docs).crossJoin(spark.range(copies).select()).repartition(4)
+        got = {(r[0], r[1]) for r in decontaminate.leaks(table, benchmark).select("doc_id", "item_id").distinct().collect()}
+        assert got == {(500 + k, k) for k in range(5)}
+
+
 def test_in_order():
     rng = np.random.default_rng(0)
     for _ in range(50):
