@@ -7,7 +7,8 @@ and are trained by stochastic gradient descent in numpy, on a bounded sample
 of labelled rows (``max_rows``), never on held-out ones.
 
 Averaging and the output layer are linear, so scoring needs one number per
-distinct word: its features' share of the logit. Whole texts are scored.
+distinct word: its features' share of the logit. Whole texts are scored, and
+whole words give n-grams, in pieces of bounded size.
 
 Only the text is an input of a score. Null text is empty; an empty text gets
 the score of no features. Repeated rows each get their own result. Without
@@ -31,7 +32,8 @@ BUCKETS = 1 << 17
 DIM = 8
 NGRAMS = (2, 3, 4)
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
-MOST_BYTES = 48
+PIECE = 1 << 16
+BATCH = 1 << 20
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[128:], _CLASS[48:58] = 65, 97, 97, 48
 
@@ -40,18 +42,36 @@ def _bucket(kind: bytes, value: bytes) -> int:
     return zlib.crc32(value, zlib.crc32(kind)) & (BUCKETS - 1)
 
 
-def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words' features, and the word of each: the word, its n-grams, and trigrams of its classes of characters."""
-    data = np.frombuffer(b"".join(b"<" + w[:MOST_BYTES] + b">" for w in words), np.uint8)
-    sizes = np.fromiter((min(len(w), MOST_BYTES) + 2 for w in words), np.int64, len(words))
-    owner = np.repeat(np.arange(len(words)), sizes)
+def word_features(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the words' features, and the word of each, a batch at a time: the word, its n-grams, and trigrams of its classes of characters."""
+    pieces, owners, whole, size = [], [], [], 0
+    for i, w in enumerate(words):
+        whole.append(i)
+        marked = b"<" + w + b">"
+        for at in range(0, len(marked), PIECE):
+            # n-grams that begin in this piece end in the next
+            pieces.append(marked[at : at + PIECE + max(NGRAMS) - 1])
+            owners.append(i)
+            size += len(pieces[-1])
+            if size >= BATCH:
+                yield _piece_features(words, pieces, owners, whole)
+                pieces, owners, whole, size = [], [], [], 0
+    if pieces:
+        yield _piece_features(words, pieces, owners, whole)
+
+
+def _piece_features(words: list[bytes], pieces: list[bytes], owners_of: list[int], whole: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    owner = np.repeat(np.asarray(owners_of), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
-    buckets, owners = [np.fromiter((_bucket(b"w", w) for w in words), np.int64, len(words))], [np.arange(len(words))]
+    begins = np.repeat(sizes, sizes) - left < PIECE
+    buckets, owners = [np.fromiter((_bucket(b"w", words[i]) for i in whole), np.int64, len(whole))], [np.asarray(whole, np.int64)]
     for seed, n, letters in [*((n, n, data) for n in NGRAMS), (9, 3, _CLASS[data])]:
         code = np.full(max(0, len(data) - n + 1), seed, np.uint64)
         for j in range(n):
             code = code * np.uint64(257) + letters[j : len(letters) - n + 1 + j]
-        inside = left[: len(code)] >= n
+        inside = (left[: len(code)] >= n) & begins[: len(code)]
         code = (code[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS.bit_length() + 1)
         buckets.append(code.astype(np.int64))
         owners.append(owner[: len(inside)][inside])
@@ -78,9 +98,11 @@ def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     buckets, weights = [np.fromiter((b for b, _ in marks), np.int64)], [np.fromiter((x for _, x in marks), np.float64)]
     if words:
         counts = Counter(words)
-        own, owner = word_features(list(counts))
-        buckets.append(own)
-        weights.append((np.fromiter(counts.values(), np.float64) / np.bincount(owner) / len(words))[owner])
+        held = [np.unique(owner * BUCKETS + own, return_counts=True) for own, owner in word_features(list(counts))]
+        key, times = np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])
+        owner = key // BUCKETS
+        buckets.append(key % BUCKETS)
+        weights.append((np.fromiter(counts.values(), np.float64) / np.bincount(owner, times) / len(words))[owner] * times)
     idx, back = np.unique(np.concatenate(buckets), return_inverse=True)
     return idx, np.bincount(back, np.concatenate(weights))
 
@@ -136,8 +158,11 @@ def score(documents: DataFrame, logits: np.ndarray, held: int = 300_000) -> Data
             split = [t.split() for t in texts]
             new = list(set().union(*split).difference(known))
             if new:
-                own, owner = word_features(new)
-                known.update(zip(new, (np.bincount(owner, logit[own]) / np.bincount(owner)).tolist(), strict=True))
+                total, times = np.zeros(len(new)), np.zeros(len(new))
+                for own, owner in word_features(new):
+                    total += np.bincount(owner, logit[own], len(new))
+                    times += np.bincount(owner, minlength=len(new))
+                known.update(zip(new, (total / times).tolist(), strict=True))
             out = np.empty(len(texts))
             for i, words in enumerate(split):
                 out[i] = (sum(map(known.__getitem__, words)) / len(words) if words else 0.0) + sum(x * logit[b] for b, x in document_marks(words))

@@ -238,6 +238,19 @@ def test_quality(spark):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_quality_of_text_without_spaces(spark, monkeypatch):
+    """What comes after equal starts decides, and pieces change no feature."""
+    rng = np.random.default_rng(13)
+    rows = [(i, "start" * 12 + "".join(rng.choice(list("abcdef" if i % 2 else "uvwxyz"), 300))) for i in range(200)]
+    df = documents(spark, rows)
+    got = {r["doc_id"]: r for r in quality.score(df, quality.fit(df, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int"), "quality")).collect()}
+    assert np.mean([r["predicted"] == i % 2 for i, r in got.items() if r["held_out"]]) > 0.95
+    whole = quality.features(rows[0][1].encode())
+    monkeypatch.setattr(quality, "PIECE", 7)
+    monkeypatch.setattr(quality, "BATCH", 20)
+    assert all(np.allclose(a, b) for a, b in zip(whole, quality.features(rows[0][1].encode()), strict=True))
+
+
 # --- 4, 10 ---
 
 
