@@ -1,18 +1,18 @@
-"""Duplicate passages by relative Lempel-Ziv parsing against an index of reference blocks.
+"""Duplicate passages by hashed windows that an index of content-defined anchors picks.
 
-The reference is the corpus itself, cut at content-defined anchors into short
-blocks: of each run of word 6-grams that a 20-word window holds, the one with
+No relative Lempel-Ziv parse is made: no factor is extended and no reference
+block is kept. Window hashing replaces it, as every repeat of 20 words or more
+is a union of windows of 20 words that occur earlier.
+
+Anchors: of each run of word 6-grams that a 20-word window holds, the one with
 the smallest hash. Equal windows have equal anchors at equal places, so the
 index of anchors (an eighth of the words) finds every repeat:
 
 1. exact copies of a text are settled by its hash; only the first copy goes on;
-2. anchors that occur once end there; the others mark the stretches of a
-   document that may lie in some reference block;
-3. a document is factored along those stretches: a factor is extended word by
-   word, through 96-bit hashes of the windows, as long as its window starts
-   earlier in some block; windows that straddle the ends of factors are hashed
-   and looked up like all others, so no repeat is lost at a boundary;
-4. factors of 20 words or more become duplicate spans.
+2. anchors that occur once end there; the windows whose anchors repeat are
+   hashed (96 bits);
+3. windows with an earlier equal are duplicates, and the words that they cover
+   are taken out.
 
 Each window that may repeat is looked up once by (hash), with the smallest
 (document, position) combined before the shuffle, so a passage that many
