@@ -19,13 +19,13 @@ from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage, text_chunks
+from .common import stage
 from .tokens import WordIds
+from .words import word_chunks
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 PACKED = PIECES + ", sequence_id long, offset long, fill long"
@@ -39,15 +39,19 @@ def pieces(documents: DataFrame, tokenizer: str | None, max_tokens: int = 4096,
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_ids, end, step, n = WordIds(tokenizer), np.asarray([end_id], "<u4").tobytes(), 4 * max_tokens, TaskContext.get().partitionId() << 40
-        for batch, texts in text_chunks(batches, "text"):
-            rows = []
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), word_ids.documents(texts), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), n := n + 1))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), *[pa.int64()] * 4))], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+        word_ids, salt = WordIds(tokenizer), TaskContext.get().partitionId() << 40
+        for words in word_chunks(batches, "text"):
+            ids, first = word_ids.documents(words, end_id)
+            sizes = np.diff(first)
+            counts = -(-sizes // max_tokens)
+            owner = np.repeat(np.arange(words.n), counts)
+            piece = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = piece * max_tokens
+            length = np.minimum(max_tokens, sizes[owner] - start)
+            raw, begin = memoryview(ids.astype("<u4").view(np.uint8)), 4 * (first[owner] + start)
+            crcs = [zlib.crc32(raw[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([words.batch["doc_id"].take(pa.array(owner)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(salt + np.arange(len(owner)))], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+            salt += len(owner)
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
@@ -114,17 +118,20 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def _pack_group(capacity: int, level: int):
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "salt"], kind="stable").reset_index(drop=True)
-        bins = best_two_fit(rows["length"].to_numpy(), capacity)
-        order = np.fromiter((i for b in bins for i in b), np.int64, len(rows))
-        which = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
-        rows = rows.iloc[order].reset_index(drop=True)
-        before = rows["length"].cumsum() - rows["length"]
-        rows["sequence_id"] = (level << 60) + (int(key[0]) << 24) + which
-        rows["offset"] = before - before.groupby(which).transform("first")
-        rows["fill"] = rows["length"].groupby(which).transform("sum")
-        return rows[["doc_id", "piece", "start", "length", "ids_crc32", "salt", "sequence_id", "offset", "fill"]]
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "salt")])
+        lengths = rows["length"].to_numpy()
+        bins = best_two_fit(lengths, capacity)
+        order = np.fromiter((i for b in bins for i in b), np.int64, len(lengths))
+        sizes = np.fromiter(map(len, bins), np.int64, len(bins))
+        lengths, starts = lengths[order], np.cumsum(sizes) - sizes
+        before, fill = np.cumsum(lengths) - lengths, np.add.reduceat(lengths, starts)
+        sequence = (level << 60) + (key[0].as_py() << 24) + np.repeat(np.arange(len(bins)), sizes)
+        # Arrow keeps ids whole beside nulls
+        rows = rows.take(pa.array(order)).select(["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+        for name, values in (("sequence_id", sequence), ("offset", before - np.repeat(before[starts], sizes)), ("fill", np.repeat(fill, sizes))):
+            rows = rows.append_column(name, pa.array(values, pa.int64()))
+        return rows
 
     return pack
 
@@ -134,7 +141,7 @@ def pack(staged: DataFrame, max_tokens: int = 4096, group_rows: int = 4096, loos
 
     def groups(df: DataFrame, by: list[str], n: int, level: int) -> DataFrame:
         keyed = df.withColumn("grp", F.pmod(F.xxhash64(*by), F.lit(max(1, -(-n // group_rows)))))
-        return keyed.groupBy("grp").applyInPandas(_pack_group(max_tokens, level), PACKED)
+        return keyed.groupBy("grp").applyInArrow(_pack_group(max_tokens, level), PACKED)
 
     once = stage(groups(staged, ["salt"], staged.count(), 0), "packed")
     full = F.col("fill") >= int(loose * max_tokens)

@@ -5,8 +5,10 @@
    that every sequence has one dense number, whatever is computed again.
 2. A keyed Feistel network with cycle walking permutes the numbers: each
    sequence gets a global slot, and the number can be had back from the slot.
-3. Slots are dealt by range: a shard holds ``shard_sequences`` consecutive
-   slots, and the record of a slot lies at (slot mod shard_sequences) * stride.
+3. Slots are dealt by range: a partition holds consecutive shards, a shard
+   ``shard_sequences`` consecutive slots, and the record of a slot lies at
+   (slot mod shard_sequences) * stride. The number of partitions grows with the
+   data, so none holds more than ``SHARDS_PER_TASK`` shards.
    A reader resumes at any slot with one seek. A shard is written under the
    attempt's own name and is known by the committed table only.
 
@@ -26,9 +28,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import open_fs, scratch_path, shuffle_partitions, stage, text_chunks
-from .tokens import WordIds
+from .common import open_fs, scratch_path, shuffle_partitions, stage
+from .tokens import WordIds, spread
+from .words import word_chunks
 
+SHARDS_PER_TASK = 32
 SEQUENCES = "task long, place long, n_tokens int, doc_ids array<long>, ids binary"
 
 
@@ -62,30 +66,33 @@ def sequences(documents: DataFrame, tokenizer: str | None, seq_len: int, end_id:
     """All sequences, each with the ids of the documents that it holds parts of."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task, place = WordIds(tokenizer), TaskContext.get().partitionId(), 0
-        kind = "<u2" if words.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        stride, end = seq_len * np.dtype(kind).itemsize, np.asarray([end_id], "<u4").tobytes()
-        buffer, held = bytearray(), []
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()))], names=["task", "place", "n_tokens", "doc_ids", "ids"])
-
-        for batch, texts in text_chunks(batches, "text"):
-            rows = []
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), words.documents(texts), strict=True):
-                buffer += np.frombuffer(ids + end, "<u4").astype(kind).tobytes()
-                held.append(doc_id)
-                whole = len(buffer) // stride
-                for i in range(whole):
-                    rows.append((task, place, seq_len, held, bytes(buffer[i * stride : (i + 1) * stride])))
-                    place, held = place + 1, [doc_id]
-                if whole:
-                    del buffer[: whole * stride]
-                    held = [doc_id] if buffer else []
-            yield batch_of(rows)
-        if buffer:
-            n = seq_len * len(buffer) // stride
-            yield batch_of([(task, place, n, held, bytes(buffer) + np.full(seq_len - n, end_id, kind).tobytes())])
+        words_ids, task, place = WordIds(tokenizer), TaskContext.get().partitionId(), 0
+        kind = np.dtype("<u2" if words_ids.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        # what the last chunk left: ids, and where they are whose
+        rest, docs, begins, ends = np.zeros(0, np.uint32), pa.array([], pa.int64()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def batch_of(ids: np.ndarray, n_tokens: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+            n, size = len(n_tokens), seq_len * kind.itemsize
+            offsets = pa.py_buffer(np.arange(0, (n + 1) * size, size, dtype=np.int64))
+            packed = pa.Array.from_buffers(pa.large_binary(), n, [None, offsets, pa.py_buffer(ids.astype(kind).tobytes())]).cast(pa.binary())
+            held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(hi - lo)]).astype(np.int32)), docs.take(pa.array(spread(lo, hi - lo))))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, task)), pa.array(place + np.arange(n)), pa.array(n_tokens.astype(np.int32)), held, packed], names=["task", "place", "n_tokens", "doc_ids", "ids"])
+
+        for words in word_chunks(batches, "text"):
+            ids, first = words_ids.documents(words, end_id)
+            docs = pa.concat_arrays([docs, words.batch["doc_id"]])
+            begins, ends = np.concatenate([begins, first[:-1] + len(rest)]), np.concatenate([ends, first[1:] + len(rest)])
+            rest = np.concatenate([rest, ids])
+            whole = len(rest) // seq_len
+            if whole:
+                at = seq_len * np.arange(whole)
+                yield batch_of(rest[: whole * seq_len], np.full(whole, seq_len), np.searchsorted(ends, at, "right"), np.searchsorted(begins, at + seq_len, "left"))
+                place, gone = place + whole, whole * seq_len
+                left = int(np.searchsorted(ends, gone, "right"))
+                rest, docs, begins, ends = rest[gone:], docs[left:], np.maximum(0, begins[left:] - gone), ends[left:] - gone
+        if len(rest):
+            n = len(rest)
+            yield batch_of(np.concatenate([rest, np.full(seq_len - n, end_id, np.uint32)]), np.asarray([n]), np.zeros(1, np.int64), np.asarray([len(docs)]))
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, SEQUENCES)
 
@@ -111,7 +118,15 @@ def placed(staged: DataFrame, key: int, shard_sequences: int) -> tuple[DataFrame
     return staged.mapInArrow(number, "number long, slot long, shard long, n_tokens int, doc_ids array<long>, packed binary"), n
 
 
-def write_shards(sequences: DataFrame, folder: str, shard_sequences: int) -> DataFrame:
+def _by_range(rows: DataFrame, n_sequences: int, shard_sequences: int) -> DataFrame:
+    """Rows (shard, slot) in order, consecutive shards together: as many partitions as the shards need."""
+    shards = max(1, -(-n_sequences // shard_sequences))
+    parts = min(shards, max(shuffle_partitions(rows.sparkSession), -(-shards // SHARDS_PER_TASK)))
+    each = -(-shards // parts)
+    return rows.repartitionById(parts, F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("slot")
+
+
+def write_shards(sequences: DataFrame, folder: str, shard_sequences: int, n_sequences: int) -> DataFrame:
     """A file per shard; a row per sequence with its file, byte offset and stride."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +155,7 @@ def write_shards(sequences: DataFrame, folder: str, shard_sequences: int) -> Dat
         if out is not None:
             out.close()
 
-    n = shuffle_partitions(sequences.sparkSession)
-    return sequences.repartition(n, "shard").sortWithinPartitions("slot").mapInArrow(write, "number long, slot long, shard long, n_tokens int, doc_ids array<long>, file string, byte_offset long, stride int, ids_crc32 long")
+    return _by_range(sequences, n_sequences, shard_sequences).mapInArrow(write, "number long, slot long, shard long, n_tokens int, doc_ids array<long>, file string, byte_offset long, stride int, ids_crc32 long")
 
 
 def read_slots(written: DataFrame, folder: str, first: int = 0) -> DataFrame:
@@ -162,13 +176,14 @@ def read_slots(written: DataFrame, folder: str, first: int = 0) -> DataFrame:
         if handle is not None:
             handle.close()
 
-    n = shuffle_partitions(written.sparkSession)
-    return written.filter(F.col("slot") >= first).repartition(n, "shard").sortWithinPartitions("slot").mapInArrow(read, written.schema)
+    # as staged, a file of the table is a partition's slots in order: only its order among them is to be had back
+    shape = written.agg(F.count("*").alias("n"), F.max(F.when(F.col("shard") == 0, F.col("slot"))).alias("last")).first()
+    return _by_range(written.filter(F.col("slot") >= first), shape["n"], (shape["last"] or 0) + 1).mapInArrow(read, written.schema)
 
 
 def materialise(documents: DataFrame, folder: str | None = None, tokenizer: str | None = None, seq_len: int = 4096, end_id: int = 1, key: int = 1, shard_sequences: int = 512) -> tuple[DataFrame, str]:
     """Write ``documents`` (doc_id, text) in training order; the table of sequences and the shards' folder."""
     folder = folder or scratch_path(documents.sparkSession, "shards")
     staged = stage(sequences(documents, tokenizer, seq_len, end_id), "order-sequences")
-    rows, _ = placed(staged, key, shard_sequences)
-    return stage(write_shards(rows, folder, shard_sequences), "order-written"), folder
+    rows, n = placed(staged, key, shard_sequences)
+    return stage(write_shards(rows, folder, shard_sequences, n), "order-written"), folder

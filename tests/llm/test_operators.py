@@ -6,11 +6,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import components, decontaminate, jaccard, knn, langid, packing, pii, quality, substrings, training_order, warc
 from gridloom.llm.tokens import WordIds
+from gridloom.llm.words import word_chunks
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rid long, key string, row string, th long"
 
@@ -254,25 +256,64 @@ def test_quality_of_text_without_spaces(spark, monkeypatch):
 # --- 4, 10 ---
 
 
-def test_word_ids():
+def text_batch(texts):
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+
+
+def library_ids(texts, end=True):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    texts = ["Don't it's you'RE", "a<|endoftext|>b  x", "é é İstanbul ǅ ß ﬁ ½ 12ab a_b __ x y", "日本語 テスト", "the, THE. thinghaton*** reed!!", "a" * 700, "", "\x1c\x85 a\x1cb", "aaaa abab ababab."]
-    for text, got in zip(texts, WordIds().documents([x.encode() for x in texts]), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    return [np.asarray(t.encode(x or "", add_special_tokens=False).ids + [1] * end, "<u4") for x in texts]
+
+
+def test_words():
+    """Words, their joins and hashes, for chunks of every size; equal words and no others have equal hashes."""
+    rng = np.random.default_rng(21)
+    texts = ["", " ", "a", " ab  c\n", None, "é ü", "x" * 1000 + " y " + "x" * 1000, "q" * 9 + " " + "q" * 17, "\x00 a\x00 b \x1c"]
+    texts += ["".join(rng.choice(list("ab \t\n\x0b\x0c\r\x00z"), int(rng.integers(0, 60)))) for _ in range(200)]
+    seen = {}
+    for size in (1, 500, 1 << 20):
+        at = 0
+        for w in word_chunks(iter([text_batch(texts).slice(1)]), "text", size):
+            low, high = w.hashes()
+            keep = np.arange(len(w.start)) % 3 != 0
+            for i, (whole, part) in enumerate(zip(w.joined(), w.joined(keep), strict=True)):
+                own, lo, hi = (texts[1 + at] or "").encode().split(), w.first[i], w.first[i + 1]
+                at += 1
+                assert bytes(whole) == b" ".join(own) and bytes(part) == b" ".join(x for x, k in zip(own, keep[lo:hi], strict=True) if k)
+                assert w.words(np.arange(lo, hi)) == own
+                assert all(seen.setdefault(x, h) == h for x, h in zip(own, zip(low[lo:hi].tolist(), high[lo:hi].tolist(), strict=True), strict=True))
+    assert len({h[0] for h in seen.values()}) == len({h[1] for h in seen.values()}) == len(seen)
+
+
+def test_word_ids():
+    rng = np.random.default_rng(22)
+    texts = ["Don't it's you'RE", "a<|endoftext|>b  x", "é é İstanbul ǅ ß ﬁ ½ 12ab a_b __ x y", "日本語 テスト", "the, THE. thinghaton*** reed!!", "a" * 700, "", "\x1c\x85 a\x1cb", "aaaa abab ababab."]
+    texts += ["".join(rng.choice(list("abcZÀÉéÖ×÷ßÿĀİı.,-'(9 \n\t漢😀ÞŸñȺ\u0301\x00  "), int(rng.integers(0, 40)))) for _ in range(1500)]
+    ids = WordIds()
+    for size in (1 << 20, 300):
+        got = []
+        for w in word_chunks(iter([text_batch(texts)]), "text", size):
+            flat, first = ids.documents(w, 1)
+            got += [flat[a:b].tolist() for a, b in zip(first, first[1:], strict=False)]
+        assert got == [x.tolist() for x in library_ids(texts)]
 
 
 def test_packing(spark, corpus):
-    got = packing.pack(packing.stage(packing.pieces(documents(spark, corpus), None, 256), "p"), 256, group_rows=40).toPandas()
-    assert (got["length"] <= 256).all()
-    for _, bin_ in got.sort_values("offset").groupby("sequence_id"):
-        assert (bin_["offset"].to_numpy() == np.r_[0, bin_["length"].cumsum()[:-1]]).all() and bin_["length"].sum() <= 256
-    ids = list(WordIds().documents([(t or "").encode() for _, t in corpus]))
-    want = sorted((zlib.crc32(x[a : a + 1024]), len(x[a : a + 1024]) // 4, a // 4) for x in (i + b"\1\0\0\0" for i in ids) for a in range(0, len(x), 1024))
-    assert sorted(zip(got["ids_crc32"], got["length"], got["start"], strict=True)) == want
-    assert got["sequence_id"].nunique() <= 1.1 * -(-got["length"].sum() // 256) + 1
+    big = 2**60 + 1
+    rows = [*corpus, (big, "an id that doubles cannot hold"), (None, "beside a row without an id")]
+    got = packing.pack(packing.stage(packing.pieces(documents(spark, rows), None, 256), "p"), 256, group_rows=40).toArrow().to_pylist()
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for held in bins.values():
+        held.sort()
+        assert [o for o, _ in held] == np.cumsum([0, *(n for _, n in held[:-1])]).tolist() and sum(n for _, n in held) <= 256
+    want = collections.Counter((i, k, a, len(x[a : a + 256]), zlib.crc32(x[a : a + 256].tobytes())) for (i, _), x in zip(rows, library_ids([t for _, t in rows]), strict=True) for k, a in enumerate(range(0, len(x), 256)))
+    assert collections.Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    assert len(bins) <= 1.1 * -(-sum(r["length"] for r in got) // 256) + 1
 
 
 def test_best_two_fit():
@@ -287,16 +328,29 @@ def test_best_two_fit():
 
 
 def test_training_order(spark, corpus):
-    written, folder = training_order.materialise(documents(spark, corpus), seq_len=128, shard_sequences=16)
-    got = training_order.read_slots(written, folder).toPandas().sort_values("slot")
-    n = len(got)
-    assert got["slot"].tolist() == list(range(n)) and sorted(got["number"]) == list(range(n))
+    """Every record, its place, documents and ids against the stream cut by hand, the file read in order."""
+    written, folder = training_order.materialise(documents(spark, corpus).coalesce(1), seq_len=128, shard_sequences=16, key=7)
+    rows = training_order.read_slots(written, folder).collect()
+    ids = library_ids([t for _, t in corpus])
+    stream, owner = np.concatenate(ids), np.repeat(np.arange(len(ids)), list(map(len, ids)))
+    n = -(-len(stream) // 128)
+    order = training_order.Feistel(n, key=7)
+    slots = order(np.arange(n)).tolist()
+    assert [r["slot"] for r in sorted(rows, key=lambda r: r["number"])] == slots and [r["slot"] for r in rows] == list(range(n))
+    path, files = folder.removeprefix("file://"), {}
+    for r in rows:
+        own = stream[128 * r["number"] : 128 * r["number"] + 128]
+        with open(f"{path}/{r['file']}", "rb") as f:
+            f.seek(r["byte_offset"])
+            got = np.frombuffer(f.read(r["stride"]), "<u2")
+        assert got.tolist() == own.tolist() + [1] * (128 - len(own)) and r["n_tokens"] == len(own)
+        assert r["shard"] == r["slot"] // 16 and r["byte_offset"] == r["slot"] % 16 * r["stride"] and files.setdefault(r["shard"], r["file"]) == r["file"]
+        assert r["doc_ids"] == [corpus[d][0] for d in dict.fromkeys(owner[128 * r["number"] : 128 * r["number"] + 128].tolist())]
+    assert order(np.asarray([r["slot"] for r in rows]), back=True).tolist() == [r["number"] for r in rows]
     assert training_order.read_slots(written, folder, first=n - 5).count() == 5
-    path = folder.removeprefix("file://")
-    read = {int(r.number): np.frombuffer(open(f"{path}/{r.file}", "rb").read()[r.byte_offset : r.byte_offset + r.stride], "<u2")[: r.n_tokens] for r in got.itertuples()}
-    stream = np.concatenate([read[k] for k in range(n)])
-    want = [np.frombuffer(i + b"\1\0\0\0", "<u4") for i in WordIds().documents([(t or "").encode() for _, t in corpus])]
-    assert len(stream) == sum(map(len, want)) and sorted(np.bincount(stream).tolist()) == sorted(np.bincount(np.concatenate(want)).tolist())
+    # several tasks, chunks and partitions give the same tokens in all
+    many, other = training_order.materialise(documents(spark, corpus).repartition(3), seq_len=64, shard_sequences=2)
+    assert sum(r["n_tokens"] for r in training_order.read_slots(many, other).collect()) == len(stream)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000, 4096])
