@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _own: dict[str, str] = {}
 
@@ -60,6 +60,20 @@ def drop_staged(df: DataFrame) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def hot_join(rows: DataFrame, counted: DataFrame, keys: list[str], n: str = "n", most: int = 1000) -> DataFrame:
+    """Inner join with a staged table that has a row per key and counts in ``n`` how many of ``rows`` have it.
+
+    Keys with more than one in ``most`` of the rows are fewer than ``most``: they
+    go to all tasks, and their rows stay where they are. All others are shuffled.
+    """
+    limit = (counted.agg(F.sum(n)).first()[0] or 0) / most
+    hot = F.broadcast(counted.filter(F.col(n) > limit))
+    if hot.isEmpty():
+        return rows.join(counted, keys)
+    cold = rows.join(F.broadcast(counted.filter(F.col(n) > limit).select(keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(counted.filter(F.col(n) <= limit), keys))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

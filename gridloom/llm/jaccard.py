@@ -36,33 +36,35 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import shuffle_partitions, stage, text_chunks
+from .common import shuffle_partitions, stage
 from .components import components
-from .substrings import WordHashes, mixed
+from .words import Words, mixed, word_chunks
 
 SHINGLE = 5
 COORDINATES = 32
 LEVELS = 5
 BUCKET = 128
 BLOCK_SHINGLES = 60_000
+BLOCK_SETS = 1024
 _rng = np.random.default_rng(5)
 _PLACES = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(texts: list[bytes], hashes: WordHashes, n: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct hashes of each text's word ``n``-grams; a shorter text's words as a whole."""
-    out = []
-    for text in texts:
-        low = hashes(text.split())[0]
-        k = min(n, len(low))
-        if not k:
-            out.append(np.zeros(0, np.uint64))
-            continue
-        h = np.full(len(low) - k + 1, k, np.uint64)
-        for j in range(k):
-            h += low[j : len(low) - k + 1 + j] * _PLACES[j]
-        out.append(np.unique(mixed(h)))
-    return out
+def shingle_sets(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each text's word ``n``-grams, one text after the other, and where each text's begin (and the end); a shorter text's words as a whole."""
+    low = words.hashes()[0]
+    size = np.minimum(n, words.counts)
+    counts = np.where(size > 0, words.counts - size + 1, 0)
+    owner = np.repeat(np.arange(words.n), counts)
+    at = np.repeat(words.first[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(len(owner))
+    h = size[owner].astype(np.uint64)
+    for j in range(n):
+        live = slice(None) if (size[size > 0] > j).all() else np.flatnonzero(size[owner] > j)
+        h[live] += low[at[live] + j] * _PLACES[j]
+    h = mixed(h)
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    sets = [np.unique(h[a:b]) for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+    return np.concatenate(sets) if sets else h, np.concatenate([[0], np.cumsum(list(map(len, sets)))])
 
 
 def runs_for(recall: float, threshold: float, levels: int) -> int:
@@ -76,22 +78,22 @@ def sketches(documents: DataFrame, runs: int) -> DataFrame:
     factors = np.random.default_rng(6).integers(0, 1 << 63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, n = WordHashes(), TaskContext.get().partitionId() << 36
-        for batch, texts in text_chunks(batches, "text"):
-            sets = shingle_sets(texts, hashes)
-            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        n = TaskContext.get().partitionId() << 36
+        for words in word_chunks(batches, "text"):
+            flat, first = shingle_sets(words)
+            sizes = np.diff(first)
             some = np.flatnonzero(sizes)
-            values = np.zeros((len(sets), width), np.int32)
-            whole = np.zeros((2, len(sets)), np.uint64)
+            values = np.zeros((words.n, width), np.int32)
+            whole = np.zeros((2, words.n), np.uint64)
             if len(some):
-                flat, starts = np.concatenate([sets[i] for i in some]), np.concatenate([[0], np.cumsum(sizes[some])])[:-1]
+                starts = first[some]
                 for c in range(width):
                     mine = np.minimum.reduceat(flat * factors[c], starts)
                     values[some, c] = (mine >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 whole[0, some], whole[1, some] = np.add.reduceat(flat, starts), np.add.reduceat(mixed(flat), starts)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * width), pa.array(values.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, n + len(sets))), batch["doc_id"], batch["th"], pa.array(sizes), pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64)), lists], names=["rid", "doc_id", "th", "size", "s1", "s2", "sketch"])
-            n += len(sets)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(words.n + 1, dtype=np.int32) * width), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(n + np.arange(words.n)), words.batch["doc_id"], words.batch["th"], pa.array(sizes), pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64)), lists], names=["rid", "doc_id", "th", "size", "s1", "s2", "sketch"])
+            n += words.n
 
     return _keyed(documents).mapInArrow(run, "rid long, doc_id long, th long, size long, s1 long, s2 long, sketch array<int>")
 
@@ -180,8 +182,9 @@ def candidate_links(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
 
 
 def _pair_blocks(sizes: DataFrame) -> DataFrame:
-    """root, rid, block, blocks: families cut so that a block holds about ``BLOCK_SHINGLES``."""
-    total = sizes.groupBy("root").agg(F.sum("size").alias("total")).select("root", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    """root, rid, block, blocks: families cut so that a block holds about ``BLOCK_SHINGLES`` and ``BLOCK_SETS`` at most."""
+    total = sizes.groupBy("root").agg(F.sum("size").alias("total"), F.count("*").alias("sets"))
+    total = total.select("root", F.ceil(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("sets") / BLOCK_SETS)).cast("int").alias("blocks"))
     return sizes.join(total, "root").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
 
 
@@ -284,10 +287,11 @@ def _with_shingles(rows: DataFrame) -> DataFrame:
     schema = T.StructType([*[f for f in rows.schema.fields if f.name != "text"], T.StructField("shingles", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch, texts in text_chunks(batches, "text"):
-            keep = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in keep), pa.array([s.tobytes() for s in shingle_sets(texts, hashes)], pa.binary())], names=[*keep, "shingles"])
+        for words in word_chunks(batches, "text"):
+            keep = [n for n in words.batch.schema.names if n != "text"]
+            flat, first = shingle_sets(words)
+            sets = [flat[a:b].tobytes() for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([*(words.batch[n] for n in keep), pa.array(sets, pa.binary())], names=[*keep, "shingles"])
 
     return rows.mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import components, decontaminate, jaccard, knn, langid, packing, pii, quality, substrings, training_order, warc
+from gridloom.llm import common, components, decontaminate, jaccard, knn, langid, packing, pii, quality, substrings, training_order, warc
 from gridloom.llm.tokens import WordIds
 from gridloom.llm.words import word_chunks
 
@@ -363,10 +363,9 @@ def test_feistel(n):
 # --- 6 ---
 
 
-def test_substrings(spark, corpus):
-    rows = sorted((r for r in corpus if r[0] is not None), key=lambda r: r[0])
-    got = collections.Counter(map(tuple, substrings.deduplicate(documents(spark, rows)).collect()))
-    seen, want = set(), collections.Counter()
+def brute_factors(rows):
+    """Each row's greedy parse: at every word the longest run that starts earlier (20 words or more), wherever it lies; runs that touch are one factor."""
+    seen, out = set(), []
     for i, t in rows:
         w = (t or "").encode().split()
         gone = [False] * len(w)
@@ -375,9 +374,38 @@ def test_substrings(spark, corpus):
             if k in seen:
                 gone[s : s + 20] = [True] * 20
             seen.add(k)
+        edges = np.flatnonzero(np.diff(np.r_[0, gone, 0])).reshape(-1, 2).tolist()
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
-        want[(i, len(w), sum(gone), hashlib.sha256(kept).hexdigest())] += 1
-    assert got == want
+        out.append((i, len(w), sum(gone), hashlib.sha256(kept).hexdigest(), tuple(map(tuple, edges))))
+    return collections.Counter(out)
+
+
+def parsed(df):
+    return collections.Counter((*tuple(r)[:4], tuple(map(tuple, r["factors"]))) for r in substrings.parse(df).collect())
+
+
+def test_substrings(spark, corpus):
+    rows = sorted(corpus, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert parsed(documents(spark, rows)) == brute_factors(rows)
+
+
+def test_substrings_of_few_words(spark):
+    """Texts over two or three words, where anchors tie and windows repeat inside a text and across many; and one passage in all of them."""
+    rng = np.random.default_rng(31)
+    line = " ".join(f"l{j}" for j in range(25))
+    rows = [(i, " ".join(rng.choice(["a", "b", "c"][: 1 + i % 3], int(rng.integers(0, 120))))) for i in range(60)]
+    rows += [(100 + i, f"start{i} x{i % 7} {line} id{i} " + " ".join(rng.choice(["a", "b"], 30))) for i in range(150)]
+    rows += [(400 + i, " ".join(f"l{j}" for j in range(i % 6, 25 - i % 4))) for i in range(24)]
+    assert parsed(documents(spark, rows)) == brute_factors(rows)
+
+
+def test_hot_join(spark):
+    """Keys of every weight give the rows of a plain join."""
+    rows = spark.range(3000).selectExpr("id", "case when id < 1000 then 7 else id % 40 end as key")
+    counted = rows.groupBy("key").agg(F.count("*").alias("n")).filter("key % 2 = 1")
+    for most in (1, 3, 50, 1000):
+        got = common.hot_join(rows, counted, ["key"], most=most).select("id", "key", "n").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, rows.join(counted, "key").select("id", "key", "n").collect()))
 
 
 # --- 7 ---
