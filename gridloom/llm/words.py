@@ -109,3 +109,66 @@ def word_chunks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 2
             end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + max_bytes, "right")) - 1)
             yield Words(batch.slice(begin, end - begin), data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin])
             begin = end
+
+
+# What is taken off a word's ends, and lower case, in ASCII.
+_EDGES = bytes(i for i in range(33, 127) if not chr(i).isalnum())
+_EDGE = np.zeros(256, bool)
+_EDGE[list(_EDGES)] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def normal(word: bytes) -> bytes:
+    """Lower case without punctuation at either end; a word of punctuation alone stays."""
+    return word.strip(_EDGES).lower() or word
+
+
+def normal_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words as ``normal`` makes them."""
+    start, size = words.start.copy(), words.size.copy()
+    for from_end in (False, True):
+        live = np.arange(len(start))
+        for _ in range(16):
+            live = live[_EDGE[words.data[start[live] + (size[live] - 1 if from_end else 0)]] & (size[live] > 0)]
+            size[live] -= 1
+            start[live] += not from_end
+        for i in live.tolist():
+            # longer runs of punctuation, one by one
+            own = words.data[start[i] : start[i] + size[i]].tobytes()
+            kept = own.rstrip(_EDGES) if from_end else own.lstrip(_EDGES)
+            start[i] += 0 if from_end else len(own) - len(kept)
+            size[i] = len(kept)
+    none = size == 0
+    start[none], size[none] = words.start[none], words.size[none]
+    return byte_hashes(_LOWER[words.data], start, size)
+
+
+def hashes_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of words that are given one by one."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    return byte_hashes(np.frombuffer(b"".join(words) + b" " * 8, np.uint8), np.cumsum(sizes) - sizes, sizes)
+
+
+class Numbers:
+    """Numbers from 1 of given words by their hashes; all other words are 0."""
+
+    def __init__(self, words: list[bytes], bits: int = 18):
+        low, high = hashes_of(words)
+        self.order = np.argsort(low, kind="stable")
+        self.low, self.high, self.shift = low[self.order], high[self.order], np.uint64(64 - bits)
+        slots = (self.low >> self.shift).astype(np.int64)
+        self.begin = np.searchsorted(slots, np.arange(1 << bits)).astype(np.int32)
+        self.depth = int(np.bincount(slots).max(initial=0))
+        self.filled = np.zeros(1 << bits, bool)
+        self.filled[slots] = True
+
+    def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        out, slot = np.zeros(len(low), np.int32), (low >> self.shift).astype(np.int64)
+        live = np.flatnonzero(self.filled[slot])
+        at = self.begin[slot[live]]
+        for j in range(self.depth):
+            place = np.minimum(at + j, len(self.low) - 1)
+            hit = (self.low[place] == low[live]) & (self.high[place] == high[live])
+            out[live[hit]] = self.order[place[hit]] + 1
+        return out
