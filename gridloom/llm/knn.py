@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import stage
 
-PIVOTS = 48
+LEAST_PIVOTS, MOST_PIVOTS = 48, 2048
 GROUP_QUERIES = 512
 BLOCK_ROWS = 4096
 MOST = 2**63 - 1
@@ -141,9 +141,11 @@ def plan(centres: np.ndarray, s: dict[str, np.ndarray], k: int, group_queries: i
     return group, need
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, n_pivots: int = PIVOTS, group_queries: int = GROUP_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, n_pivots: int | None = None, group_queries: int = GROUP_QUERIES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The ``k`` best candidates of every vector whose id is divisible by ``every``."""
     vectors = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    # groups grow more slowly than the table: half its root
+    n_pivots = n_pivots or int(min(MOST_PIVOTS, max(LEAST_PIVOTS, vectors.count() ** 0.5 / 2)))
     centres = pivots(vectors, n_pivots)
     assigned = stage(assign(vectors, centres, every).dropDuplicates(["vec_id", "v"]), "knn-cells")
     # rows that a query leaves out as its own: one, unless ids repeat with other vectors
