@@ -8,8 +8,14 @@
 * host: priors smoothed hierarchically, overall to suffix to host, from
   grouped counts of all rows.
 
-The trigram tables are fitted on a bounded sample of declared rows
-(``sample_rows`` per language); all counts cover all rows.
+The trigram tables are fitted on a bounded sample of declared rows (about
+``sample_rows`` per language); all counts cover all rows. Every declared
+language is learned, however rare: its table leans on what all languages have
+in common, the more so the fewer rows declare it. A declaration is the primary
+subtag of a language tag (two or three letters: ``en`` of ``en-GB``); anything
+else counts as undeclared. That bounds the number of languages; each takes half
+a megabyte on the driver, and tasks hold ``BLOCK`` of them at a time. Markup is
+searched as a whole, and texts of any length are scored in pieces.
 
 Null or empty text has no text evidence: its language comes from the rest and
 the row is rejected. Null declarations, hosts and addresses count as unknown.
@@ -29,6 +35,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .common import stage, text_chunks
 
 BITS = 16
+BLOCK = 64
+PIECE = 1 << 20
 RESULT = ("language", "posterior", "accepted")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -36,79 +44,108 @@ _LOWER[48:58] = 48
 _LOWER[[9, 10, 11, 12, 13]] = 32
 
 
-def trigram_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte trigrams of all texts, each text with a space on both sides, and where each text's begin."""
-    data = _LOWER[np.frombuffer(b"".join(b" " + t + b" " for t in texts), np.uint8)].astype(np.uint32)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
+def trigram_codes(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashed byte trigrams of all texts, each with a space on both sides, and the text of each: in order, in pieces of bounded size."""
+    pieces, owners, size = [], [], 0
+    for i, t in enumerate(texts):
+        whole = b" " + t + b" "
+        for at in range(0, len(whole) - 2, PIECE):
+            # the trigrams that begin in this piece
+            pieces.append(whole[at : at + PIECE + 2])
+            owners.append(i)
+            size += len(pieces[-1])
+            if size >= PIECE:
+                yield _codes(pieces, owners)
+                pieces, owners, size = [], [], 0
+    if pieces:
+        yield _codes(pieces, owners)
+
+
+def _codes(pieces: list[bytes], owners: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    data = _LOWER[np.frombuffer(b"".join(pieces), np.uint8)].astype(np.uint32)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     codes = ((data[:-2] << 16 | data[1:-1] << 8 | data[2:]) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-    return codes, np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    own = np.ones(len(data), bool)
+    ends = np.cumsum(sizes)
+    own[ends - 1] = own[ends - 2] = False
+    return codes[own[:-2]], np.repeat(np.asarray(owners), sizes - 2)
 
 
-def _per_text(values: np.ndarray, starts: np.ndarray, texts: list[bytes]) -> np.ndarray:
-    """Sums of each text's own trigrams; the two that reach into the next text don't count."""
-    total = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0, dtype=np.float64)])
-    ends = starts + np.fromiter(map(len, texts), np.int64, len(texts))
-    return total[ends] - total[starts]
+def declared_languages(rows: DataFrame) -> list[tuple[str, int]]:
+    """All declared languages and their rows, the commonest first."""
+    counts = rows.filter("declared is not null").groupBy("declared").count()
+    return [(r[0], r[1]) for r in counts.orderBy(F.desc("count"), "declared").collect()]
 
 
-def declared_languages(rows: DataFrame, least: int = 20, most: int = 64) -> list[tuple[str, int]]:
-    """The commonest declared languages and their rows, at most ``most``."""
-    counts = rows.filter("declared is not null").groupBy("declared").count().filter(F.col("count") >= least)
-    return [(r[0], r[1]) for r in counts.orderBy(F.desc("count"), "declared").limit(most).collect()]
-
-
-def fit(rows: DataFrame, languages: list[tuple[str, int]], sample_rows: int = 1500) -> np.ndarray:
+def fit(rows: DataFrame, languages: list[tuple[str, int]], sample_rows: int = 1500, common: float = 2000.0) -> np.ndarray:
     """log P(trigram | language), a row per language and a last one for no language."""
-    table = np.full((len(languages) + 1, 1 << BITS), 0.5)
-    names = [n for n, _ in languages]
-    share = F.lit(0.0)
-    for n, count in languages:
-        share = F.when(F.col("declared") == n, min(1.0, sample_rows / count)).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).select("declared", "text")
+    table = np.zeros((len(languages) + 1, 1 << BITS), np.float32)
+    names = {n: k for k, (n, _) in enumerate(languages)}
+    share = F.element_at(F.create_map(*[F.lit(x) for n, c in languages for x in (n, min(1.0, sample_rows / c))]), F.col("declared"))
+    chosen = rows.filter("declared is not null").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).select("declared", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((len(names), 1 << BITS), np.int64)
         for batch, texts in text_chunks(batches, "text"):
-            which = np.fromiter(map(names.index, batch["declared"].to_pylist()), np.int64, len(texts))
-            for k in np.unique(which):
-                held[k] += np.bincount(trigram_codes([texts[i] for i in np.flatnonzero(which == k)])[0], minlength=1 << BITS)
-        k, code = np.nonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(code.astype(np.int32)), pa.array(held[k, code])], names=["k", "code", "n"])
-
-    if names:
-        # at most languages x 65,536 rows
-        sums = chosen.mapInArrow(count, "k int, code int, n long").groupBy("k", "code").agg(F.sum("n").alias("n")).toArrow()
-        np.add.at(table, (sums["k"].to_numpy(), sums["code"].to_numpy()), sums["n"].to_numpy())
+            which = np.fromiter(map(names.__getitem__, batch["declared"].to_pylist()), np.int64, len(texts))
+            for codes, owner in trigram_codes(texts):
+                key, n = np.unique(which[owner] << BITS | codes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((key >> BITS).astype(np.int32)), pa.array((key & (1 << BITS) - 1).astype(np.int32)), pa.array(n)], names=["k", "code", "n"])
+
+    # at most languages x 65,536 rows
+    sums = chosen.mapInArrow(count, "k int, code int, n long").groupBy("k", "code").agg(F.sum("n").alias("n")).toArrow()
+    table[sums["k"].to_numpy(), sums["code"].to_numpy()] = sums["n"].to_numpy()
+    every = table.sum(0) + 0.5
+    table += (0.5 + common * every / every.sum()).astype(np.float32)
     table[-1] = 1.0
-    return np.log(table / table.sum(1, keepdims=True)).astype(np.float32)
+    return np.log(table / table.sum(1, keepdims=True))
 
 
 def add_likelihoods(rows: DataFrame, model: np.ndarray, weight: float = 1 / 3) -> DataFrame:
     """``rows`` with loglik (an array with a value per language and one for none). Trigrams overlap, hence the weight."""
-    flat = np.ascontiguousarray(model.T)
-    schema = T.StructType([*rows.schema.fields, T.StructField("loglik", T.ArrayType(T.DoubleType()))])
+    blocks = [model[at : at + BLOCK] for at in range(0, len(model), BLOCK)]
+    for k, block in enumerate(blocks):
+        rows = _add_block(rows, np.ascontiguousarray(block.T) * np.float32(weight), f"_loglik{k}")
+    parts = [f"_loglik{k}" for k in range(len(blocks))]
+    return rows.withColumn("loglik", F.concat(*parts)).drop(*parts)
+
+
+def _add_block(rows: DataFrame, flat: np.ndarray, name: str) -> DataFrame:
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
+    shared = rows.sparkSession.sparkContext.broadcast(flat)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_chunks(batches, "text", 1 << 20):
-            codes, starts = trigram_codes(texts)
-            sums = weight * _per_text(flat[codes], starts, texts)
+        flat = shared.value
+        for batch, texts in text_chunks(batches, "text", PIECE):
+            sums = np.zeros((len(texts), flat.shape[1]))
+            for codes, owner in trigram_codes(texts):
+                for at in range(0, len(codes), 1 << 15):
+                    own = owner[at : at + (1 << 15)]
+                    starts = np.flatnonzero(np.diff(own, prepend=-1))
+                    sums[own[starts]] += np.add.reduceat(flat[codes[at : at + (1 << 15)]], starts, axis=0, dtype=np.float64)
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * flat.shape[1]), pa.array(sums.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "loglik"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, name])
 
     return rows.mapInArrow(score, schema)
 
 
+def plain_text(markup: str) -> Column:
+    """The text of a column of markup: without scripts, styles and tags."""
+    scripts = F.regexp_replace(F.col(markup).cast("string"), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    return F.regexp_replace(scripts, r"<[^>]*>", " ")
+
+
 def evidence(df: DataFrame, text: str = "text", declared: str | None = None, host: str | None = None, markup: str | None = None, address: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """The rows (in ``row``) with text, declared, host and suffix: from columns, or from markup and addresses."""
     none = F.lit(None).cast("string")
     lang = F.col(declared).cast("string") if declared else none
     if markup:
-        lang = F.coalesce(lang, F.nullif(F.regexp_extract(F.substring(F.col(markup), 1, 4096), r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([A-Za-z]{2,3})", 1), F.lit("")))
+        lang = F.coalesce(lang, F.nullif(F.regexp_extract(F.col(markup).cast("string"), r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([A-Za-z0-9_-]+)", 1), F.lit("")))
+    lang = F.nullif(F.regexp_extract(F.lower(F.trim(lang)), r"^([a-z]{2,3})(?:$|[-_])", 1), F.lit(""))
     name = F.col(host).cast("string") if host else none
     if address:
         name = F.coalesce(name, F.nullif(F.lower(F.regexp_extract(F.col(address), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit("")))
     suffix = F.nullif(F.regexp_extract(name, r"\.([A-Za-z0-9-]+)$", 1), F.lit(""))
-    return df.select(F.struct(*(keep or df.columns)).alias("row"), F.col(text).cast("string").alias("text"), F.lower(lang).alias("declared"), F.coalesce(name, F.lit("")).alias("host"), F.coalesce(suffix, F.lit("")).alias("suffix"))
+    return df.select(F.struct(*(keep or df.columns)).alias("row"), F.col(text).cast("string").alias("text"), lang.alias("declared"), F.coalesce(name, F.lit("")).alias("host"), F.coalesce(suffix, F.lit("")).alias("suffix"))
 
 
 def _best(scores: Column) -> Column:
@@ -159,10 +196,8 @@ def identify(df: DataFrame, text: str = "text", keep: list[str] | None = None, s
     scored once more as they pass, and texts are never shuffled.
     """
     rows = evidence(df, text, keep=keep, **sources)
-    # the evidence decides about languages: rows that declare none of the learned ones count as undeclared
     languages = declared_languages(rows)
     names = [name for name, _ in languages]
-    rows = rows.withColumn("declared", F.when(F.col("declared").isin(names), F.col("declared")) if names else F.lit(None).cast("string"))
     if not names:
         # nothing to learn from: no language is known, and no row accepted
         own = [c for c in (keep or df.columns) if c not in RESULT]

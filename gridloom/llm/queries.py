@@ -27,6 +27,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents, keep=["doc_id"], declared="lang", host="source")
 
 
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language ID where markup declares the language and addresses give suffixes and hosts."""
+    pages = table(spark, sf_dir, "pages").withColumn("text", langid.plain_text("html"))
+    return langid.identify(pages, keep=["page_id"], markup="html", address="url")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -60,7 +66,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii, op3_language_id, op4_best_fit_packing, op5_quality, op6_substring_dedup, op7_benchmark_decontamination, op8_warc, op9_exact_top_k, op10_training_order)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii, op3_language_id, pages_language_id, op4_best_fit_packing, op5_quality, op6_substring_dedup, op7_benchmark_decontamination, op8_warc, op9_exact_top_k, op10_training_order)}
 
 
 def oracle_sql() -> dict[str, str]:
