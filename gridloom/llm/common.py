@@ -6,13 +6,15 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _own: dict[str, str] = {}
+_open: list[list[DataFrame]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -43,10 +45,30 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.gridloom_path = path
+    if _open:
+        _open[-1].append(out)
     release(spark)
     return out
 
 
+@contextmanager
+def temporaries() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is staged inside goes at the end, but for tables that the function given here is called with (results read them later)."""
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _open.append(own)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _open.remove(own)
+        for df in own:
+            if not any(df is k for k in kept):
+                drop_staged(df)
+            elif _open:
+                # the result of an operator inside another one goes with that one's
+                _open[-1].append(df)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished jobs: it does so once the driver has collected what refers to them."""
     gc.collect()

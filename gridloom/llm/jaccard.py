@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import shuffle_partitions, stage
+from .common import shuffle_partitions, stage, temporaries
 from .components import components
 from .words import Words, mixed, word_chunks
 
@@ -298,32 +298,33 @@ def _with_shingles(rows: DataFrame) -> DataFrame:
 
 def join(documents: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """doc_id, class_id, n_links for every row."""
-    runs = runs_for(recall, threshold, LEVELS)
-    all_rows = stage(sketches(documents, runs), "jaccard-sketches")
-    same = ["size", "s1", "s2"]
-    # copies: one set stands for all of them
-    distinct = stage(all_rows.filter("size > 0").groupBy(*same).agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "jaccard-distinct")
-    sets = all_rows.join(distinct.select("rid"), "rid", "left_semi").select("rid", "sketch")
-    links = candidate_links(sets, runs, threshold)
-    families = components(links).select(F.col("node").alias("rid"), "root")
-    placed = _pair_blocks(distinct.select("rid", "size", "copies").join(families, "rid"))
-    wanted = stage(placed.join(all_rows.select("rid", "doc_id", "th"), "rid"), "jaccard-families")
-    # one plan at every size: texts are shuffled once, whatever Spark guesses of the other side
-    texts = _keyed(documents).alias("d").join(wanted.alias("w").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th")))
-    rows = _with_shingles(texts.select("w.rid", "w.root", "w.block", "w.blocks", "w.copies", "d.text"))
-    # equal rows have one text: once per set is enough
-    rows = stage(rows, "jaccard-sets")
-    if not all_rows.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["rid"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    pairs = rows.select("*", other).select(F.concat_ws(":", "root", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "rid", F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "copies", "shingles", (F.col("block") == F.col("other")).alias("own"))
-    n = shuffle_partitions(documents.sparkSession)
-    found = stage(pairs.repartition(n, "key").sortWithinPartitions("key", "rid").mapInArrow(_compare(threshold), "a long, b long, n long"), "jaccard-found")
-    counts = found.filter("b is null").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("linked"))
-    joined = components(found.filter("b is not null").select("a", "b")).select(F.col("node").alias("rid"), "root")
-    members = stage(distinct.join(joined, "rid", "left").join(counts, "rid", "left").withColumn("root", F.coalesce("root", "rid")), "jaccard-members")
-    classes = members.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    members = stage(members.join(classes, "root").select(*same, "class_id", F.col("root").alias("cls"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "jaccard-classes")
+    with temporaries() as keep:
+        runs = runs_for(recall, threshold, LEVELS)
+        all_rows = keep(stage(sketches(documents, runs), "jaccard-sketches"))
+        same = ["size", "s1", "s2"]
+        # copies: one set stands for all of them
+        distinct = stage(all_rows.filter("size > 0").groupBy(*same).agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least_id"), F.count("*").alias("copies")), "jaccard-distinct")
+        sets = all_rows.join(distinct.select("rid"), "rid", "left_semi").select("rid", "sketch")
+        links = candidate_links(sets, runs, threshold)
+        families = components(links).select(F.col("node").alias("rid"), "root")
+        placed = _pair_blocks(distinct.select("rid", "size", "copies").join(families, "rid"))
+        wanted = stage(placed.join(all_rows.select("rid", "doc_id", "th"), "rid"), "jaccard-families")
+        # one plan at every size: texts are shuffled once, whatever Spark guesses of the other side
+        texts = _keyed(documents).alias("d").join(wanted.alias("w").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th")))
+        rows = _with_shingles(texts.select("w.rid", "w.root", "w.block", "w.blocks", "w.copies", "d.text"))
+        # equal rows have one text: once per set is enough
+        rows = stage(rows, "jaccard-sets")
+        if not all_rows.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
+            rows = rows.dropDuplicates(["rid"])
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        pairs = rows.select("*", other).select(F.concat_ws(":", "root", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "rid", F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "copies", "shingles", (F.col("block") == F.col("other")).alias("own"))
+        n = shuffle_partitions(documents.sparkSession)
+        found = stage(pairs.repartition(n, "key").sortWithinPartitions("key", "rid").mapInArrow(_compare(threshold), "a long, b long, n long"), "jaccard-found")
+        counts = found.filter("b is null").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("linked"))
+        joined = components(found.filter("b is not null").select("a", "b")).select(F.col("node").alias("rid"), "root")
+        members = stage(distinct.join(joined, "rid", "left").join(counts, "rid", "left").withColumn("root", F.coalesce("root", "rid")), "jaccard-members")
+        classes = members.groupBy("root").agg(F.min("least_id").alias("class_id"))
+        members = keep(stage(members.join(classes, "root").select(*same, "class_id", F.col("root").alias("cls"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")), "jaccard-classes"))
     out = all_rows.drop("sketch").join(members, same, "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "rid", "th", F.coalesce("cls", "rid").alias("cls"), "size")
 

@@ -4,7 +4,8 @@ Base spans are what fixed patterns find (email, ip, card, phone), leftmost and
 non-overlapping per kind. The method then bootstraps from them:
 
 * every base span and every other identifier-like token (one with a digit or
-  an @) is an instance; the two words before it are its lexical pattern;
+  an @) is an instance; the two whole words before the token in which it begins
+  are its lexical pattern, if no instance of the same sort comes between;
 * all occurrences of each pattern that precedes ``support`` different values or
   more are counted in all texts, so a pattern that ordinary words follow scores
   low; the support is the same for every size of table;
@@ -14,15 +15,20 @@ non-overlapping per kind. The method then bootstraps from them:
 * what identifier-like tokens good patterns point to becomes a span of the
   kind that the pattern mostly precedes. Base spans always stay.
 
-Null text is empty: no spans. Repeated rows each get their own result. An
-empty table gives no rows. Extra columns are ignored.
+Places are running sums over exploded matches, so a text costs in proportion
+to its length however many identifiers it holds.
+
+A pattern's kind is that of most of its seeds (ties: the first in the order
+email, ip, card, phone). Null text is empty: no spans. A null doc_id is an id
+like any other. Repeated rows each get their own result. An empty table gives
+no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stage
+from .common import hot_join, stage, temporaries
 
 # The four kinds in order. A match cannot start inside a run that
 # could have started it earlier (or it starts where the last match ended), and
@@ -41,7 +47,8 @@ KINDS = {
 IP_PARTS = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
 IDENTIFIER = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 MOST_BITS = 1 << 20
-SPAN = "struct<start:bigint,end:bigint,value:string,context:string>"
+CHUNK = 4096
+PLACED = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
 def _digits(value: Column) -> Column:
@@ -70,47 +77,44 @@ def _valid(kind: str, value: Column) -> Column:
     }[kind]
 
 
-def _holds(kind: str):
-    return lambda s: _valid(kind, s["value"])
-
-
-def _tagged(kind: str | None):
-    return lambda s: F.struct(F.lit(kind).cast("string").alias("kind"), s.alias("span"))
-
-
-def _placed(kind: str):
-    return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
-
-
-def _matches(text: Column, pattern: str) -> Column:
-    """All matches with code point positions and the 80 characters before: the gaps' and the matches' lengths add up."""
-    found, none = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.expr(f"cast(array() as array<{SPAN}>)")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
-
-    def add(acc: Column, part: Column) -> Column:
-        begin = acc["at"] + F.length(part["gap"])
-        end = begin + F.length(part["value"])
-        span = F.struct(begin.alias("start"), end.alias("end"), part["value"].alias("value"), F.right(part["gap"], F.lit(80)).alias("context"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span.cast(SPAN))).alias("out"))
-
-    parts = F.arrays_zip(found.alias("value"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"))
-    return F.when(F.size(found) > 0, F.aggregate(parts, start, add, lambda acc: acc["out"])).otherwise(none)
+def _before(gap: Column, i: Column) -> Column:
+    """The two whole words before the token that the gap ends in, lower case; null if there are fewer. Read backwards, so that it is one match from the start."""
+    backwards = F.reverse(F.concat(F.when(i == 0, " ").otherwise(""), F.lower(gap)))
+    two = F.reverse(F.regexp_extract(backwards, r"^\S*+\s++(\S++\s++\S++)\s", 1))
+    return F.when(two != "", F.regexp_replace(two, r"\s+", " "))
 
 
-def _pattern(context: Column) -> Column:
-    """The last two words of the context, lower case; null if there are fewer."""
-    two = F.regexp_extract(F.lower(context), r"(?:^|\s)(\S{1,40}\s+\S{1,40})\s*$", 1)
-    return F.when(two != "", F.regexp_replace(two, r"\s+", " "))
+def _with_gaps(text: str, pattern: str, found: str) -> Column:
+    """Of every match: how many characters lie before it since the last one, its value, and the words before."""
+    parts = F.arrays_zip(F.col(found).alias("value"), F.slice(F.split(F.col(text), pattern, -1), F.lit(1), F.size(found)).alias("gap"))
+    return F.transform(parts, lambda p, i: F.struct(i.alias("i"), F.length(p["gap"]).alias("gap"), p["value"].alias("value"), _before(p["gap"], i).alias("pattern")))
 
 
 def base_spans(documents: DataFrame) -> DataFrame:
-    """doc_id, key (of the row), an array of spans per kind, and the other identifier-like tokens."""
+    """doc_id, key (of the text) and the matches of each kind and of other identifier-like tokens, valid or not."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    patterns = {**KINDS, "other": IDENTIFIER}
     df = documents.select(F.col("doc_id").cast("long"), text.alias("text"))
-    df = df.select("doc_id", F.xxhash64("text").alias("key"), *[_matches(F.col("text"), p).alias(f"m_{k}") for k, p in KINDS.items()], _matches(F.col("text"), IDENTIFIER).alias("m_other"))
-    df = df.select("doc_id", "key", "m_other", *[F.filter(f"m_{k}", _holds(k)).alias(k) for k in KINDS])
-    clear = F.filter("m_other", lambda o: ~F.exists(F.concat(*KINDS), lambda b: (b["start"] < o["end"]) & (o["start"] < b["end"])))
-    return df.select("doc_id", "key", *KINDS, clear.alias("other"))
+    df = df.select("doc_id", "text", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(k) for k, p in patterns.items()])
+    return df.select("doc_id", F.xxhash64("text").alias("key"), *[_with_gaps("text", p, k).alias(k) for k, p in patterns.items()])
+
+
+def placed(staged: DataFrame) -> DataFrame:
+    """rid, kind (null for other tokens, which no base span overlaps), start, end, value, pattern."""
+    tagged = lambda k: F.transform(k, lambda m: F.struct(F.lit(k).alias("kind"), m["i"].alias("i"), m["gap"].alias("gap"), m["value"].alias("value"), m["pattern"].alias("pattern")))
+    rows = staged.select("rid", F.inline(F.concat(*[tagged(k) for k in (*KINDS, "other")]))).repartition("rid")
+    size = F.length("value")
+    rows = rows.withColumn("end", F.sum(F.col("gap") + size).over(Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("start", F.col("end") - size)
+    valid = F.lit(True)
+    for k in KINDS:
+        valid = F.when(F.col("kind") == k, _valid(k, F.col("value"))).otherwise(valid)
+    rows, other = rows.filter(valid), F.col("kind") == "other"
+    # a base span overlaps a token if it starts before the token's end and ends after its start
+    order = Window.partitionBy("rid").orderBy(F.when(other, F.col("end")).otherwise(F.col("start")), F.when(other, 0).otherwise(1)).rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(~other, F.col("end"))).over(order)
+    rows = rows.withColumn("reach", reach).filter(~other | F.col("reach").isNull() | (F.col("reach") <= F.col("start")))
+    return rows.select("rid", F.when(~other, F.col("kind")).alias("kind"), "start", "end", "value", "pattern")
 
 
 def _wanted(keyed: DataFrame) -> Column:
@@ -145,42 +149,49 @@ def score_patterns(graph: DataFrame, counts: DataFrame, rounds: int = 3, likely:
         edges = stage(edges.drop("heard").join(values, "value", "left").withColumn("belief", F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("heard", F.lit(0.0)))).drop("heard"), "pii-edges")
 
 
-def discover(documents: DataFrame, staged: DataFrame, support: int = 5, confident: float = 0.8, rounds: int = 3) -> DataFrame | None:
-    """doc_id, key, found: spans that good patterns point to; None where no pattern is induced."""
-    known = [F.transform(k, _tagged(k)) for k in KINDS]
-    rows = staged.select(F.inline(F.concat(*known, F.transform("other", _tagged(None)))))
-    rows = rows.select("kind", F.lower("span.value").alias("value"), _pattern(F.col("span.context")).alias("pattern")).filter("pattern is not null")
+def _rank(kind: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, KINDS)), kind)
+
+
+def discover(documents: DataFrame, spans: DataFrame, support: int = 5, confident: float = 0.8, rounds: int = 3) -> DataFrame | None:
+    """rid, kind, start, end: spans that good patterns point to; None where no pattern is induced."""
+    rows = spans.filter("pattern is not null").select("kind", F.lower("value").alias("value"), "pattern")
     graph = stage(rows.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")), "pii-graph")
     # a pattern that never precedes enough different values can't become a good one
-    induced = stage(graph.groupBy("pattern").agg(F.count_distinct("value").alias("values"), F.count("kind").alias("seeds"), F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("n"))).alias("kind")).filter((F.col("values") >= support) & (F.col("seeds") > 0)).select("pattern", "kind"), "pii-patterns")
+    kinds = graph.groupBy("pattern", "kind").agg(F.sum("n").alias("n"))
+    kinds = kinds.groupBy("pattern").agg(F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct("n", -_rank(F.col("kind"))))).alias("kind"), F.coalesce(F.sum(F.when(F.col("kind").isNull(), F.col("n"))), F.lit(0)).alias("n"))
+    induced = graph.groupBy("pattern").agg(F.count_distinct("value").alias("values"), F.count("kind").alias("seeds")).filter((F.col("values") >= support) & (F.col("seeds") > 0))
+    induced = stage(induced.join(kinds, "pattern").select("pattern", "kind", "n"), "pii-patterns")
     if induced.isEmpty():
         return None
     counts = stage(pattern_counts(documents, induced), "pii-counts")
     scores = score_patterns(graph.join(induced.select("pattern"), "pattern"), counts, rounds)
-    good = stage(scores.filter((F.col("score") >= confident) & (F.col("support") >= support)).join(induced, "pattern").select("pattern", "kind"), "pii-good")
+    good = stage(scores.filter((F.col("score") >= confident) & (F.col("support") >= support)).join(induced, "pattern").select("pattern", "kind", "n"), "pii-good")
     if good.isEmpty():
         return None
-    others = staged.filter(F.size("other") > 0).select("doc_id", "key", F.inline("other")).withColumn("pattern", _pattern(F.col("context"))).filter("pattern is not null")
-    trimmed = F.length(F.rtrim(F.regexp_replace("value", r"[\"'.,;:!?)\]>]+$", "")))
-    return others.join(good, "pattern").filter(trimmed > 0).groupBy("doc_id", "key").agg(F.collect_set(F.struct("kind", "start", (F.col("start") + trimmed).alias("end"))).alias("found"))
+    others = spans.filter("kind is null and pattern is not null").select("rid", "start", "value", "pattern")
+    # closing punctuation goes, read backwards in one match
+    trimmed = F.length("value") - F.length(F.regexp_extract(F.reverse("value"), r"^[\"'.,;:!?)\]>]*+", 0))
+    return hot_join(others, good, ["pattern"]).filter(trimmed > 0).select("rid", "kind", "start", (F.col("start") + trimmed).alias("end"))
 
 
 def find(documents: DataFrame) -> DataFrame:
     """doc_id, key, base and spans (arrays of kind, start, end), and the counts of the base spans."""
-    staged = stage(base_spans(documents), "pii-base")
-    plain = F.concat(*[F.transform(k, _placed(k)) for k in KINDS])
-    out = staged.select("doc_id", "key", plain.alias("base"), *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS])
-    found = discover(documents, staged)
-    if found is None:
-        return out.withColumn("spans", F.col("base"))
-    ordered = F.array_sort(F.concat("base", F.coalesce("found", F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)"))), _by_kind)
-    return out.join(found, ["doc_id", "key"], "left").withColumn("spans", ordered).drop("found")
-
-
-def _by_kind(a: Column, b: Column) -> Column:
-    order = F.array(*map(F.lit, KINDS))
-    ka, kb = F.array_position(order, a["kind"]), F.array_position(order, b["kind"])
-    return F.when(ka != kb, F.when(ka < kb, -1).otherwise(1)).when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)
+    with temporaries() as keep:
+        # matches are read once more than the result needs: it takes ids and places only
+        staged = stage(base_spans(documents).withColumn("rid", F.monotonically_increasing_id()), "pii-base")
+        rows = keep(stage(staged.select("rid", "doc_id", "key"), "pii-rows"))
+        spans = stage(placed(staged), "pii-spans")
+        every = spans.filter("kind is not null").select("rid", "kind", "start", "end", F.lit(True).alias("base"))
+        found = discover(documents, spans)
+        if found is not None:
+            every = every.unionByName(found.withColumn("base", F.lit(False)))
+        every = keep(stage(every, "pii-every"))
+    every = every.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(_rank(F.col("kind")).alias("rank"), "start", "end", "kind", "base"))).alias("every"))
+    out = rows.join(every, "rid", "left").withColumn("base", F.filter("every", lambda s: s["base"]))
+    bare = lambda c: F.coalesce(F.transform(c, lambda s: F.struct(s["kind"].alias("kind"), s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"))), F.expr(f"cast(array() as {PLACED})"))
+    size = lambda k: F.coalesce(F.size(F.filter("base", lambda s: s["kind"] == k)), F.lit(0)).cast("long")
+    return out.select("doc_id", "key", bare("base").alias("base"), bare("every").alias("spans"), *[F.when(F.col("base").isNull(), 0).otherwise(size(k)).cast("long").alias(f"n_{k}") for k in KINDS])
 
 
 def joined(spans: str) -> Column:
@@ -188,20 +199,36 @@ def joined(spans: str) -> Column:
 
 
 def mask(documents: DataFrame) -> DataFrame:
-    """``documents`` with every span of ``text`` replaced by its kind in brackets; n_chars follows where it was set."""
-    spans = find(documents).dropDuplicates(["doc_id", "key"]).filter(F.size("spans") > 0).select("doc_id", "key", F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_spans"))
-    spans = stage(spans, "pii-mask")
-    keyed = documents.withColumn("key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    text, start = F.col("text"), F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-
-    def put(acc: Column, s: Column) -> Column:
-        clear = s["start"] >= acc["at"]
-        piece = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(clear, F.concat(acc["out"], piece, F.lit("<"), s["kind"], F.lit(">"))).otherwise(acc["out"]).alias("out"))
-
-    masked = F.aggregate("_spans", start, put, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    # both sides null-safe: a row without an id keeps its spans
-    joined_rows = keyed.alias("d").join(spans.alias("s").hint("merge"), F.col("d.key").eqNullSafe(F.col("s.key")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")), "left")
-    new = joined_rows.select(*[F.col(f"d.{c}") for c in documents.columns], "_spans").withColumn("_text", F.when(F.col("_spans").isNotNull(), masked).otherwise(text))
-    out = [F.col("_text").alias(c) if c == "text" else F.when(F.col("_spans").isNotNull(), F.length("_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
-    return new.select(*out)
+    """``documents`` with every span of ``text`` replaced by its kind in brackets; n_chars follows where it was set.
+
+    Texts with spans are masked in pieces of ``CHUNK`` characters, so that
+    their cost doesn't grow with spans times length.
+    """
+    with temporaries() as keep:
+        spans = find(documents).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "spans")
+        spans = stage(spans.withColumn("mid", F.monotonically_increasing_id()), "pii-mask")
+        keyed = documents.withColumn("key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+        # both sides null-safe: a row without an id keeps its spans
+        same = F.col("d.key").eqNullSafe(F.col("s.key")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
+        texts = keyed.select("doc_id", "key", F.col("text").cast("string").alias("text")).alias("d").join(spans.alias("s").hint("merge"), same).select("s.mid", "d.text").dropDuplicates(["mid"])
+        pieces = texts.select("mid", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).alias("c", "piece"))
+        earlier = Window.partitionBy("mid").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+        parts = spans.select("mid", F.inline("spans")).withColumn("at", F.coalesce(F.max("end").over(earlier), F.lit(0)))
+        # spans that overlap go as one, under the first one's kind
+        parts = parts.select("mid", F.greatest("start", "at").alias("lo"), F.col("end").alias("hi"), F.when(F.col("start") >= F.col("at"), F.concat(F.lit("<"), "kind", F.lit(">"))).otherwise("").alias("label")).filter("hi > lo")
+        c = lambda place: F.floor(place / CHUNK).cast("int")
+        parts = parts.select("*", F.explode(F.sequence(c(F.col("lo")), c(F.col("hi") - 1))).alias("c"))
+        inside = F.struct((F.greatest("lo", F.col("c") * CHUNK) - F.col("c") * CHUNK).cast("int").alias("lo"), (F.least("hi", (F.col("c") + 1) * CHUNK) - F.col("c") * CHUNK).cast("int").alias("hi"), F.when(c(F.col("lo")) == F.col("c"), F.col("label")).otherwise("").alias("label"))
+        parts = parts.groupBy("mid", "c").agg(F.sort_array(F.collect_list(inside)).alias("parts"))
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+        def put(acc: Column, p: Column) -> Column:
+            return F.struct(p["hi"].alias("at"), F.concat(acc["out"], F.substring("piece", acc["at"] + 1, p["lo"] - acc["at"]), p["label"]).alias("out"))
+
+        masked = F.when(F.col("parts").isNull(), F.col("piece")).otherwise(F.aggregate("parts", start, put, lambda acc: F.concat(acc["out"], F.substring("piece", acc["at"] + 1, F.lit(CHUNK)))))
+        masked = pieces.join(parts, ["mid", "c"], "left").select("mid", F.struct("c", masked.alias("piece")).alias("piece"))
+        masked = masked.groupBy("mid").agg(F.array_join(F.transform(F.sort_array(F.collect_list("piece")), lambda p: p["piece"]), "").alias("_text"))
+        masked = keep(stage(masked.join(spans.select("mid", "doc_id", "key"), "mid").select("doc_id", "key", "_text"), "pii-masked"))
+    rows = keyed.alias("d").join(masked.alias("s").hint("merge"), same, "left").select(*[F.col(f"d.{c}") for c in documents.columns], "_text")
+    out = [F.coalesce("_text", "text").alias(c) if c == "text" else F.when(F.col("_text").isNotNull() & F.col(c).isNotNull(), F.length("_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
+    return rows.select(*out)

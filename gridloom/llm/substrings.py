@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import drop_staged, hot_join, stage
+from .common import hot_join, stage, temporaries
 from .tokens import spread
 from .words import Words, mixed, word_chunks
 
@@ -155,7 +155,6 @@ def _parsed(index: DataFrame) -> DataFrame:
     known = hot_join(occurrences, anchors, ["h"]).drop("n")
     places = stage(numbered(index.select("doc_id", "th", "rid"), ["doc_id", "th", "rid"]).select("rid", "place"), "substr-places")
     found = stage(known.join(places, "rid").select("place", "h", "g", "s", "k", _at("place", "s").alias("at")), "substr-blocks")
-    drop_staged(anchors)
     firsts = stage(found.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("at").alias("first")), "substr-firsts")
     kinds = stage(firsts.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "substr-kinds")
     # the first block of a kind is a boundary where its anchor has blocks of other kinds; a later one is part of a factor
@@ -215,31 +214,30 @@ def _factors(texts: DataFrame, window: int) -> DataFrame:
 
 def parse(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and factors (array of start and end, in words) for every row."""
-    index = stage(index_documents(documents, window), "substr-index")
-    rows = stage(_parsed(index), "substr-held")
-    # texts that one factor covers need no second look
-    covered = F.col("windows") == F.col("n_words") - (window - 1)
-    wanted = rows.filter(~covered).select("rid", "place", "doc_id", "th", "held")
-    texts = _keyed(documents)
-    if not index.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
-        # rows that repeat have one text
-        texts = texts.dropDuplicates(["doc_id", "th"])
-    texts = texts.alias("d").join(wanted.alias("w").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th")))
-    texts = stage(texts.select("w.rid", "w.place", "w.held", "d.text"), "substr-texts")
-    windows = stage(_windows(texts, window), "substr-windows")
-    earliest = stage(windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min("at").alias("first")).filter("n > 1"), "substr-earliest")
-    later = hot_join(windows, earliest, ["w1", "w2"]).filter("at > first")
-    position = F.col("at").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")
-    later = later.groupBy(F.shiftright("at", POSITION_BITS).alias("place")).agg(F.collect_list(F.struct(position.alias("s"), F.lit(0).alias("k"))).alias("more"))
-    later = stage(later, "substr-later")
-    drop_staged(windows)
-    none = F.expr("cast(array() as array<struct<s:int,k:int>>)")
-    whole = F.transform(F.filter("held", lambda b: b["whole"]), lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k")))
-    spans = texts.join(later, "place", "left").select("rid", "text", F.concat(whole, F.coalesce("more", none)).alias("spans")).filter(F.size("spans") > 0)
-    factors = stage(_factors(spans, window), "substr-factors")
+    with temporaries() as keep:
+        index = keep(stage(index_documents(documents, window), "substr-index"))
+        rows = keep(stage(_parsed(index), "substr-held"))
+        # texts that one factor covers need no second look
+        covered = F.col("windows") == F.col("n_words") - (window - 1)
+        wanted = rows.filter(~covered).select("rid", "place", "doc_id", "th", "held")
+        texts = _keyed(documents)
+        if not index.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
+            # rows that repeat have one text
+            texts = texts.dropDuplicates(["doc_id", "th"])
+        texts = texts.alias("d").join(wanted.alias("w").hint("merge"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th")))
+        texts = stage(texts.select("w.rid", "w.place", "w.held", "d.text"), "substr-texts")
+        windows = stage(_windows(texts, window), "substr-windows")
+        earliest = stage(windows.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min("at").alias("first")).filter("n > 1"), "substr-earliest")
+        later = hot_join(windows, earliest, ["w1", "w2"]).filter("at > first")
+        position = F.col("at").bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")
+        later = later.groupBy(F.shiftright("at", POSITION_BITS).alias("place")).agg(F.collect_list(F.struct(position.alias("s"), F.lit(0).alias("k"))).alias("more"))
+        later = stage(later, "substr-later")
+        none = F.expr("cast(array() as array<struct<s:int,k:int>>)")
+        whole = F.transform(F.filter("held", lambda b: b["whole"]), lambda b: F.struct(b["s"].alias("s"), b["k"].alias("k")))
+        spans = texts.join(later, "place", "left").select("rid", "text", F.concat(whole, F.coalesce("more", none)).alias("spans")).filter(F.size("spans") > 0)
+        factors = keep(stage(_factors(spans, window), "substr-factors"))
     all_gone = rows.filter(covered).select("rid", F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end"))).alias("factors"), F.col("n_words").alias("gone"), F.lit(hashlib.sha256(b"").hexdigest()).alias("left_sha256"))
     out = index.select("rid", "doc_id", "n_words", "kept_sha256").join(factors.unionByName(all_gone), "rid", "left")
-    drop_staged(texts)
     return out.select("doc_id", "n_words", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("left_sha256", "kept_sha256").alias("kept_sha256"), F.coalesce("factors", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("factors"))
 
 

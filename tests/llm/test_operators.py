@@ -97,7 +97,13 @@ def test_jaccard_large_buckets(spark, monkeypatch):
 def test_jaccard_meets_in_split_buckets(spark, monkeypatch):
     """Pairs of similarity 0.8, all with one boilerplate of 70 % of their union, meet in some bucket."""
     rng, held, buckets = np.random.default_rng(11), [], jaccard.buckets
-    monkeypatch.setattr(jaccard, "buckets", lambda *a: held.append(buckets(*a)) or held[-1])
+
+    def seen(*a):
+        found = buckets(*a)
+        held.extend(part.collect() for part in found)
+        return found
+
+    monkeypatch.setattr(jaccard, "buckets", seen)
     fresh = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
     boilerplate, rows = fresh(74), []
     for i in range(600):
@@ -105,8 +111,8 @@ def test_jaccard_meets_in_split_buckets(spark, monkeypatch):
         rows += [(2 * i + k, " ".join(both + fresh(10))) for k in range(2)]
     got = {r["doc_id"]: r for r in jaccard.join(documents(spark, rows)).collect()}
     at = collections.defaultdict(set)
-    for part in held[0]:
-        for r in part.collect():
+    for part in held:
+        for r in part:
             at[r["rid"]].add(r["key"])
     met = [bool(at[got[2 * i]["rid"]] & at[got[2 * i + 1]["rid"]]) for i in range(600)]
     assert sum(met) >= 599
@@ -179,6 +185,92 @@ def test_pii_discovers_in_a_large_table(spark):
     assert {tuple(r) for r in counts.select("pattern", "occurrences").collect()} == {("secret token:", 7), ("my mail:", 8002)}
 
 
+def brute_discovery(rows, support=5, confident=0.8, rounds=3):
+    """The spans that patterns add, by plain loops: (row, kind, start, end)."""
+    kinds, edges, others, pairs = list(BASE), collections.Counter(), [], collections.Counter()
+    for n, (_, text) in enumerate(rows):
+        text = text or ""
+        w = re.split(r"[ \t\n\x0b\f\r]+", text.lower())
+        pairs.update(zip(w, w[1:], strict=False))
+        base = brute_spans(text)
+        for kind, p in [*BASE.items(), (None, r"(?<!\S)[^\s0-9@]*[0-9@]\S*")]:
+            at = 0
+            for m in re.finditer(p, text, re.ASCII):
+                gap = (" " if at == 0 else "") + text[at : m.start()].lower()
+                at = m.end()
+                if kind and (kind, m.start(), m.end()) not in base or not kind and any(s < m.end() and m.start() < e for _, s, e in base):
+                    continue
+                if before := re.search(r"\s(\S+)\s+(\S+)\s+\S*$", gap, re.ASCII):
+                    pattern = f"{before[1]} {before[2]}"
+                    edges[pattern, m[0].lower(), kind] += 1
+                    if not kind:
+                        others.append((n, m.start(), m[0], pattern))
+    by = collections.defaultdict(list)
+    for (pattern, value, kind), k in edges.items():
+        by[pattern].append((value, kind, k))
+    by = {p: e for p, e in by.items() if len({v for v, *_ in e}) >= support and any(kind for _, kind, _ in e)}
+    belief, score = {}, {}
+    for _ in range(rounds):
+        sure = lambda v, kind: 1.0 if kind else belief.get(v, 0.0)
+        score = {p: (sum(k * sure(v, kind) for v, kind, k in e) / (max(sum(k for *_, k in e), pairs[tuple(p.split(" "))]) + 1), len({v for v, kind, _ in e if sure(v, kind) > 0.5})) for p, e in by.items()}
+        belief = {}
+        for p, e in by.items():
+            for v, *_ in e:
+                belief[v] = 1 - (1 - belief.get(v, 0.0)) * (1 - score[p][0])
+    out = set()
+    for n, start, value, p in others:
+        if p in score and score[p][0] >= confident and score[p][1] >= support:
+            total = collections.Counter()
+            for _, kind, k in by[p]:
+                if kind:
+                    total[kind] += k
+            kind = max(total, key=lambda k: (total[k], -kinds.index(k)))
+            if left := len(value.rstrip("\"'.,;:!?)]>")):
+                out.add((n, kind, start, start + left))
+    return out
+
+
+def test_pii_against_brute_force(spark):
+    """Base and discovered spans of random texts with good, mixed and bad patterns, glued tokens, ties and rows without an id."""
+    rng = np.random.default_rng(41)
+    forms = [lambda: f"user{rng.integers(99)}@host{rng.integers(9)}.org", lambda: f"+1 505 {rng.integers(100, 999)} {rng.integers(1000, 9999)}", lambda: f"10.0.{rng.integers(300)}.{rng.integers(99)}", lambda: f"x{rng.integers(99)}#at#y", lambda: str(rng.integers(1 << 40)), lambda: "(a1).", lambda: "plain", lambda: f"tel:+1505555{rng.integers(1000, 9999)}", lambda: "4111 1111 1111 1111"]
+    lead = ["my mail:", "call me", "Write  to", "the number", "see also\n", "at", "server ip"]
+    rows = []
+    for i in range(400):
+        parts = []
+        for _ in range(int(rng.integers(0, 6))):
+            k = int(rng.integers(len(lead)))
+            # leads have forms of their own, more or less
+            form = forms[(k if rng.random() < 0.9 else int(rng.integers(len(forms)))) % len(forms)] if rng.random() < 0.8 else forms[3]
+            parts += [*rng.choice(["some", "word", "or,", "other"], int(rng.integers(0, 4))).tolist(), lead[k], form()]
+        rows.append((i if i % 50 else None, " ".join(parts)))
+    rows += [(900 + i, f"token id is Key{i}@a.bc and") for i in range(6)] + [(920 + i, f"token id is +150555512{i:02d} and") for i in range(6)] + [(940, "token id is k-77, and"), (941, None), (942, "")]
+    want = collections.Counter()
+    extra = collections.defaultdict(list)
+    for n, *span in brute_discovery(rows):
+        extra[n].append(tuple(span))
+    for n, (i, text) in enumerate(rows):
+        want[i, tuple(sorted(brute_spans(text or "") + extra[n], key=lambda s: (list(BASE).index(s[0]), s[1])))] += 1
+    assert sum(map(len, extra.values())) > 30 and any(s[0] == "email" for s in extra[len(rows) - 3])
+    got = collections.Counter((r["doc_id"], tuple(map(tuple, r["spans"]))) for r in pii.find(documents(spark, rows)).collect())
+    assert got == want
+
+
+def test_pii_of_long_texts(spark):
+    """Pages of numbers and of addresses: time in proportion to their length, spans and masks as by hand."""
+    numbers = " ".join(str(i * 7919 % 10**9) for i in range(60_000))
+    mails = " ".join(f"u{i}@h.org é😀" if i % 3 else f"10.0.0.{i % 256}@z.org" for i in range(20_000))
+    df = documents(spark, [(1, numbers), (2, mails)])
+    got = {r["doc_id"]: r for r in pii.find(df).collect()}
+    assert [[tuple(s) for s in got[i]["base"]] for i in (1, 2)] == [brute_spans(numbers), brute_spans(mails)]
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(df).collect()}
+    out, at = [], 0
+    for kind, start, end in sorted(map(tuple, got[2]["spans"]), key=lambda s: (s[1], s[2], s[0])):
+        out += [mails[at:start], f"<{kind}>"] if start >= at else []
+        at = max(at, end)
+    assert masked[2] == "".join(out) + mails[at:]
+
+
 def test_pii_mask(spark):
     df = documents(spark, [(1, "mail a@b.cc or +1 (505) 555-1941!"), (None, "a@b.cc"), (3, None), (1, "mail a@b.cc or +1 (505) 555-1941!")])
     got = sorted((r["doc_id"] or 0, r["text"], r["n_chars"]) for r in pii.mask(df).select("doc_id", F.coalesce("text", F.lit("-")).alias("text"), "n_chars").collect() if r["text"] != "-")
@@ -218,6 +310,80 @@ def test_language_of_markup(spark):
     assert {r[0] for r in got.select("language").distinct().collect()} == set(TEXTS)
 
 
+def brute_language(rows):
+    """Language and posterior of (text, declared, host) rows, evidence by evidence, by plain loops."""
+    def grams(text):
+        b = bytes(32 if c in b"\t\n\x0b\x0c\r" else 48 if 48 <= c < 58 else c + 32 if 65 <= c < 91 else c for c in b" " + text.encode() + b" ")
+        return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % 2**32) >> 16 for i in range(len(b) - 2)]
+
+    def total(kind):
+        out = collections.defaultdict(lambda: np.zeros(n))
+        for (d, h, s), k in seen:
+            out[{"d": d, "s": s, "h": h}[kind]][k] += 1
+        return out
+
+    tag = lambda d: m[1] if d and (m := re.match(r"([a-z]{2,3})(?:$|[-_])", d.strip().lower())) else None
+    rows = [(t or "", tag(d), h or "", (m[1] if (m := re.search(r"\.([A-Za-z0-9-]+)$", h or "")) else "")) for t, d, h in rows]
+    names = [x for x, _ in sorted(collections.Counter(d for _, d, *_ in rows if d).items(), key=lambda x: (-x[1], x[0]))]
+    n, table = len(names), np.zeros((len(names) + 1, 1 << 16))
+    for t, d, *_ in rows:
+        if d:
+            np.add.at(table[names.index(d)], grams(t), 1)
+    every = table.sum(0) + 0.5
+    table += 0.5 + 2000 * every / every.sum()
+    table[n] = 1
+    logs = np.log(table / table.sum(1, keepdims=True))
+    liks = [logs[:, grams(t)].sum(1) / 3 for t, *_ in rows]
+    seen = [(r[1:], int(np.argmax(x))) for r, x in zip(rows, liks, strict=True) if np.argmax(x) < n]
+    overall = np.maximum(1, sum((c for c in total("d").values()), np.zeros(n)))
+    share = overall / overall.sum()
+    by_d, by_s, by_h = total("d"), total("s"), total("h")
+    like = lambda c: np.log((c + 10 * c.sum() / overall.sum()) / (overall + 10))
+    out = []
+    for (t, d, h, s), x in zip(rows, liks, strict=True):
+        prior = np.full(n, -np.log(n))
+        if h in by_h:
+            prior = np.log((by_h[h] + 10 * (by_s[s] + 10 * share) / (by_s[s].sum() + 10)) / (by_h[h].sum() + 10))
+        z = prior + x[:n] + (like(by_d[d]) if d in by_d else 0) + (like(by_s[s]) if s and s in by_s else 0)
+        z = np.append(z, np.log(1e-3) - np.log(n) * (2 if s else 1) + x[n])
+        k = int(np.argmax(z))
+        p = 1 / np.exp(z - z.max()).sum()
+        out.append((names[k] if k < n else None, p, bool(t.strip(" ")) and k < n and p >= 0.5))
+    return out
+
+
+def test_language_against_brute_force(spark, monkeypatch):
+    """All evidence together; rare languages, language tags, odd declarations; blocks of languages and pieces of texts change nothing."""
+    rng = np.random.default_rng(51)
+    rows = []
+    for i in range(160):
+        lang = list(TEXTS)[i % 3]
+        text = " ".join(rng.permutation(TEXTS[lang].split()).tolist()[: int(rng.integers(1, 12))])
+        rows.append((text, [lang, lang.upper() + "-XX", "de", None, "not a tag"][i % 5], f"h{i % 6}.{lang}" if i % 4 else ["plain", None][i % 8 // 4]))
+    rows += [("hola que tal estamos todos aqui", "es", "h.es"), ("hola que tal", None, "h.es"), ("le", "fr_CA", "h2.fr"), ("le", None, None), ("", "de", "h1.de"), (None, None, "h1.de"), ("\x01\x02" * 50, None, None), ("und " * 3000, "de", "h1.de")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    want = brute_language(rows)
+    monkeypatch.setattr(langid, "PIECE", 1000)
+    for block in (64, 2):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        got = langid.identify(df, declared="lang", host="source").orderBy("doc_id").collect()
+        assert [(r["language"], r["accepted"]) for r in got] == [(x, a) for x, _, a in want]
+        assert np.allclose([r["posterior"] for r in got], [p for _, p, _ in want], atol=1e-3)
+    # each evidence decides some row
+    by = lambda **x: [r["language"] for r in langid.identify(df, **x).orderBy("doc_id").collect()]
+    full = [x for x, *_ in want]
+    assert by(declared="lang") != full and brute_language([(t, d, h and h.split(".")[0]) for t, d, h in rows]) != want and want[161][0] == "es"
+    assert any(brute_language([(t, d if i != j else None, h) for i, (t, d, h) in enumerate(rows)])[j][0] != full[j] for j in range(10, 40))
+
+
+def test_markup(spark):
+    long = "<html>" + "<!-- x -->" * 1000 + "<html dir=ltr lang=fr-CA><script>var the = 1 < 2;</script><p>un<b>deux</b>"
+    df = spark.createDataFrame([(1, long, "http://u:p@WWW.a.fr:80/x"), (2, None, None)], "page_id long, html string, url string")
+    rows = {r["row"]["page_id"]: r for r in langid.evidence(df.withColumn("text", langid.plain_text("html")), markup="html", address="url").collect()}
+    assert (rows[1]["declared"], rows[1]["host"], rows[1]["suffix"]) == ("fr", "www.a.fr", "fr") and rows[1]["text"].split() == ["un", "deux"]
+    assert (rows[2]["declared"], rows[2]["host"], rows[2]["suffix"], rows[2]["text"]) == (None, "", "", None)
+
+
 def test_quality(spark):
     rng = np.random.default_rng(2)
     rows, labels = [], []
@@ -544,6 +710,18 @@ def test_top_k(spark, spread):
     assert got == brute_top(rows, 5, 50)
 
 
+def test_top_k_prunes(spark):
+    """Of clustered vectors a query group is sent a small part; of vectors that lie evenly on a sphere nothing can be left out."""
+    rng = np.random.default_rng(16)
+    centres = 20 * rng.normal(size=(30, 8))
+    near = spark.createDataFrame([(i, (centres[i % 30] + 0.01 * rng.normal(size=8)).tolist()) for i in range(1500)], "vec_id long, embedding array<double>")
+    pivots = knn.pivots(near, 48)
+    s = knn._summaries(knn.assign(near, pivots, 10), len(pivots))
+    group, need = knn.plan(pivots, s, 6, 1)
+    copied = (need * s["n"]).sum()
+    assert copied < 0.35 * 1500 * len(need) and (need.any(1) == (np.bincount(group[group >= 0], minlength=len(need)) > 0)).all()
+
+
 def test_top_k_small(spark):
     df = spark.createDataFrame([(0, [0.5]), (1, [0.25]), (2, [-1.0])], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, knn.top_k(df).collect())) == [(0, 1, 1, 128 * 64), (0, 2, 2, 128 * -256)]
