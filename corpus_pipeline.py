@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.llm import decontaminate, jaccard, langid, packing, pii
-from gridloom.llm.common import stage
+from gridloom.llm.common import stage, temporaries
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stage(docs, "pipeline-" + name.replace(" ", "-"))
+        if i + 1 == len(STAGES):
+            return step(spark, docs, sf_dir)
+        # what a stage leaves behind goes once its result is written
+        with temporaries() as keep:
+            docs = keep(stage(step(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-")))
     return docs
