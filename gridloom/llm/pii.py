@@ -87,15 +87,19 @@ def _before(gap: Column, i: Column) -> Column:
 def _with_gaps(text: str, pattern: str, found: str) -> Column:
     """Of every match: how many characters lie before it since the last one, its value, and the words before."""
     parts = F.arrays_zip(F.col(found).alias("value"), F.slice(F.split(F.col(text), pattern, -1), F.lit(1), F.size(found)).alias("gap"))
-    return F.transform(parts, lambda p, i: F.struct(i.alias("i"), F.length(p["gap"]).alias("gap"), p["value"].alias("value"), _before(p["gap"], i).alias("pattern")))
+    matches = F.transform(parts, lambda p, i: F.struct(i.alias("i"), F.length(p["gap"]).alias("gap"), p["value"].alias("value"), _before(p["gap"], i).alias("pattern")))
+    return F.when(F.size(found) > 0, matches).otherwise(F.expr("cast(array() as array<struct<i:int,gap:int,value:string,pattern:string>>)"))
 
 
 def base_spans(documents: DataFrame) -> DataFrame:
     """doc_id, key (of the text) and the matches of each kind and of other identifier-like tokens, valid or not."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     patterns = {**KINDS, "other": IDENTIFIER}
+    # what every match holds: texts without it needn't be searched
+    holds = {"email": F.contains(F.col("text"), F.lit("@")), "ip": F.rlike("text", F.lit(r"[0-9]\.[0-9]")), "card": F.rlike("text", F.lit("[0-9][\x20-]?[0-9]")), "phone": F.contains(F.col("text"), F.lit("+")), "other": F.rlike("text", F.lit("[0-9@]"))}
+    none = F.expr("cast(array() as array<string>)")
     df = documents.select(F.col("doc_id").cast("long"), text.alias("text"))
-    df = df.select("doc_id", "text", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(k) for k, p in patterns.items()])
+    df = df.select("doc_id", "text", *[F.when(holds[k], F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none).alias(k) for k, p in patterns.items()])
     return df.select("doc_id", F.xxhash64("text").alias("key"), *[_with_gaps("text", p, k).alias(k) for k, p in patterns.items()])
 
 
