@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+BATCH_BYTES = 16 << 20
 _own: dict[str, str] = {}
 _open: list[list[DataFrame]] = []
 
@@ -42,7 +43,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    with _small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.gridloom_path = path
     if _open:
@@ -51,6 +53,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches for Python workers hold a bounded number of bytes, however long the texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 @contextmanager
 def temporaries() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """What is staged inside goes at the end, but for tables that the function given here is called with (results read them later)."""

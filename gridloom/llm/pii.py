@@ -211,10 +211,11 @@ def mask(documents: DataFrame) -> DataFrame:
     with temporaries() as keep:
         spans = find(documents).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "spans")
         spans = stage(spans.withColumn("mid", F.monotonically_increasing_id()), "pii-mask")
-        keyed = documents.withColumn("key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+        # the row goes as one column: no name of its own can clash
+        keyed = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), F.col("text").cast("string").alias("text"))
         # both sides null-safe: a row without an id keeps its spans
         same = F.col("d.key").eqNullSafe(F.col("s.key")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
-        texts = keyed.select("doc_id", "key", F.col("text").cast("string").alias("text")).alias("d").join(spans.alias("s").hint("merge"), same).select("s.mid", "d.text").dropDuplicates(["mid"])
+        texts = keyed.drop("row").alias("d").join(spans.alias("s").hint("merge"), same).select("s.mid", "d.text").dropDuplicates(["mid"])
         pieces = texts.select("mid", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))).alias("c", "piece"))
         earlier = Window.partitionBy("mid").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
         parts = spans.select("mid", F.inline("spans")).withColumn("at", F.coalesce(F.max("end").over(earlier), F.lit(0)))
@@ -233,6 +234,10 @@ def mask(documents: DataFrame) -> DataFrame:
         masked = pieces.join(parts, ["mid", "c"], "left").select("mid", F.struct("c", masked.alias("piece")).alias("piece"))
         masked = masked.groupBy("mid").agg(F.array_join(F.transform(F.sort_array(F.collect_list("piece")), lambda p: p["piece"]), "").alias("_text"))
         masked = keep(stage(masked.join(spans.select("mid", "doc_id", "key"), "mid").select("doc_id", "key", "_text"), "pii-masked"))
-    rows = keyed.alias("d").join(masked.alias("s").hint("merge"), same, "left").select(*[F.col(f"d.{c}") for c in documents.columns], "_text")
-    out = [F.coalesce("_text", "text").alias(c) if c == "text" else F.when(F.col("_text").isNotNull() & F.col(c).isNotNull(), F.length("_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
-    return rows.select(*out)
+    rows = keyed.select("row", "doc_id", "key").alias("d").join(masked.alias("s").hint("merge"), same, "left").select("row", "_text")
+    old = lambda c: F.col("row")[c]
+    out = {c: old(c) for c in documents.columns}
+    out["text"] = F.coalesce("_text", old("text"))
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("_text").isNotNull() & old("n_chars").isNotNull(), F.length("_text").cast("long")).otherwise(old("n_chars"))
+    return rows.select(*[c.alias(name) for name, c in out.items()])

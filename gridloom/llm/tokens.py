@@ -16,8 +16,8 @@ import numpy as np
 
 from .words import Words
 
-SLOTS = 21
-POOL = 1 << 24
+SLOTS = 20
+POOL = 1 << 22
 # Kinds of bytes: ASCII letter 0, ASCII punctuation 1, lead byte of U+00C0 to U+00FF 2, its second byte 3, any other 4.
 _KIND = np.full(256, 4, np.int8)
 _KIND[65:91] = _KIND[97:123] = 0
