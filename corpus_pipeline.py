@@ -2,6 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before
 it kept; all but the last return the columns of ``documents``.
+
+Rows without a text or with an empty one name no language and go in the first
+stage, and so does what no learned language explains. A null doc_id is an id
+like any other; of equal texts the smallest doc_id stays (null first), and one
+row of those that repeat it. Texts of any length are worked on as a whole.
+Further columns pass through whatever their names. An empty table gives no
+rows; null items of the benchmark match nothing.
 """
 
 from __future__ import annotations
@@ -46,7 +53,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Hashing, a latent space and a tokenizer decide: SQL can't express them; tests/llm compares with a brute-force version.
+#: Hashing, a latent space and a tokenizer decide: SQL can't express them; tests/llm/test_pipeline.py compares run() with a brute-force version of all stages.
 ORACLE_SQL = None
 
 
