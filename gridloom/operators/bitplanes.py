@@ -8,7 +8,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gridloom.functions.scalar import exponent
+from gridloom.functions.scalar import exponent, from_negabinary, to_negabinary
 
 
 def level_exponents(coefs: DataFrame, key: list[str], value: str = "coef") -> DataFrame:
@@ -22,19 +22,36 @@ def fixed_point(value: Column, exp: Column, planes: int) -> Column:
 
 def words(df: DataFrame, key: list[str], group: Column, place: Column, planes: int, fp: str = "fp") -> DataFrame:
     """A word per (key, block, plane): bit ``place`` is that node's bit; plane 0 is the highest."""
-    plane = F.posexplode(F.transform(F.sequence(F.lit(planes - 1), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftright", F.col(fp), k).bitwiseAND(F.lit(1).cast("long")))).alias("bitplane", "b")
-    rows = df.select(*key, group.alias("block"), place.alias("place"), F.col(fp), plane)
-    return rows.groupBy(*key, "block", "bitplane").agg(F.sum(F.call_function("shiftleft", F.col("b"), F.col("place"))).alias("word"))
+    # all planes in one aggregate: a row of words per block, taken apart after the shuffle
+    bits = [F.sum(F.call_function("shiftleft", F.call_function("shiftright", F.col("_fp"), F.lit(k)).bitwiseAND(F.lit(1).cast("long")), F.col("place"))) for k in range(planes - 1, -1, -1)]
+    rows = df.select(*key, group.alias("block"), place.alias("place"), F.col(fp).alias("_fp"))
+    return rows.groupBy(*key, "block").agg(F.array(*bits).alias("w")).select(*key, "block", F.posexplode("w").alias("bitplane", "word"))
+
+
+def negabinary_words(df: DataFrame, key: list[str], group: Column, place: Column, planes: int, q: str = "q") -> DataFrame:
+    """Words of base -2 digits: they carry the sign, so no plane of signs is needed."""
+    return words(df.withColumn("_nb", to_negabinary(F.col(q))), key, group, place, planes, "_nb")
+
+
+def negabinary_errors(df: DataFrame, key: list[str], planes: int, q: str = "q") -> DataFrame:
+    """Squared and largest error for each number of base -2 planes kept, in units of the last place."""
+    nb, rest = to_negabinary(F.col(q)), []
+    for kept in range(planes + 1):
+        low = nb.bitwiseAND(F.lit((1 << planes - kept) - 1).cast("long"))
+        rest.append(F.abs(from_negabinary(low)).cast("double"))
+    return _by_kept(df.select(*key, *[d.alias(f"_d{k}") for k, d in enumerate(rest)]), key, planes)
 
 
 def truncation_errors(df: DataFrame, key: list[str], planes: int, exp: str = "exp", value: str = "coef", fp: str = "fp") -> DataFrame:
     """Squared and largest error by level for each number of planes kept."""
-    kept = F.explode(F.sequence(F.lit(0), F.lit(planes))).alias("kept")
-    rows = df.select(*key, exp, F.abs(value).alias("size"), fp, kept)
-    unit = F.pow(F.lit(2.0), F.col("kept"))
-    cut = F.floor(F.col(fp) / F.pow(F.lit(2.0), planes - F.col("kept"))) * F.pow(F.lit(2.0), F.col(exp) - F.col("kept"))
-    d = F.col("size") - cut
-    return rows.withColumn("unit", unit).groupBy(*key, "kept").agg(F.sum(d * d).alias("sq_err"), F.max(d).alias("max_err"))
+    cut = lambda kept: F.floor(F.col(fp) / 2.0 ** (planes - kept)) * F.pow(F.lit(2.0), F.col(exp) - kept)
+    return _by_kept(df.select(*key, *[(F.abs(value) - cut(k)).alias(f"_d{k}") for k in range(planes + 1)]), key, planes)
+
+
+def _by_kept(rows: DataFrame, key: list[str], planes: int) -> DataFrame:
+    both = [F.struct(F.sum(F.col(f"_d{k}") * F.col(f"_d{k}")).alias("sq_err"), F.max(f"_d{k}").alias("max_err")) for k in range(planes + 1)]
+    out = rows.groupBy(*key).agg(F.array(*both).alias("e")).select(*key, F.posexplode("e").alias("kept", "e"))
+    return out.select(*key, "kept", "e.sq_err", "e.max_err")
 
 
 def greedy(errors: np.ndarray, sizes: np.ndarray, tolerance: float) -> list[int]:

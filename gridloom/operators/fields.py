@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gridloom.operators import blocks as B
@@ -38,6 +39,32 @@ def map_blocks(blocks: DataFrame, f, columns: str = "block_id long, data array<d
     return blocks.select("block_id", "data").mapInPandas(run, columns)
 
 
+def linear_blocks(df: DataFrame, f, column: str = "data", most: int = 64) -> DataFrame:
+    """``df`` with ``f``, a linear transform, of each row's array; arrays of one node stay. Short arrays of one length go through its matrix together."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrices: dict[int, np.ndarray] = {}
+        for batch in batches:
+            lists = batch[column]
+            sizes, flat = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy()
+            first, out = np.cumsum(sizes) - sizes, np.empty(len(flat))
+            for n in np.unique(sizes[sizes > 0]).tolist():
+                at = first[sizes == n][:, None] + np.arange(n)
+                if n == 1:
+                    out[at] = flat[at]
+                elif n > most:
+                    out[at] = np.stack([f(u) for u in flat[at]])
+                else:
+                    if n not in matrices:
+                        matrices[n] = np.stack([f(e) for e in np.eye(n)])
+                    out[at] = flat[at] @ matrices[n]
+            done = pa.ListArray.from_arrays(pa.array(np.append(first, len(flat)).astype(np.int32)), pa.array(out))
+            yield pa.RecordBatch.from_arrays([done if c == column else batch[c] for c in names], names=names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def compress(blocks: DataFrame, shape: tuple[int, ...] | None, tolerance: float, s: float = math.inf, codec: str = "huffman+zstd", relative: bool = False) -> DataFrame:
     """block_id, shape, tolerance, codec, payload: blocks whose decoded values stay within the tolerance of their own norm."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from gridloom.functions import scalar
 from gridloom.operators import bitplanes, blocks, coding, fields, measures, quantities, series
+from gridloom.plans.grid import Halving
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,11 +196,11 @@ def hier_coefficients(spark, d):
     return series.hierarchical(_nodes(spark, d)).select("user_id", "i", "lvl", r6("coef", "coef"))
 
 
-@query(f"""with {_SERIES} select user_id, i, round(1.0 / (n - 1) * (coalesce(lag(v) over w, 0) / 6 + coalesce(lead(v) over w, 0) / 6
-        + v / 3 * ((i > 0)::int + (i < n - 1)::int)), 6) as mv from g window w as (partition by user_id order by i)""")
+@query(f"""with {_SERIES} select user_id, i, round(h / 6 * coalesce(lag(v) over w, 0) + ((i > 0)::int + (i < n - 1)::int) * h / 3 * v + h / 6 * coalesce(lead(v) over w, 0), 9) as mv
+        from (select *, 1::double / (n - 1) as h from g) window w as (partition by user_id order by i)""")
 def mass_stencil(spark, d):
     rows = series.mass_stencil(_events(spark, d), "user_id", "i", "v", 1 / (F.col("n") - 1))
-    return rows.select("user_id", "i", r6("mv", "mv"))
+    return rows.select("user_id", "i", F.round("mv", 9).alias("mv"))
 
 
 @query(f"""with {_SERIES}, w as (select *, case when i % 2 = 1 then v / 2 else 0 end as share from g),
@@ -209,35 +210,75 @@ def restriction(spark, d):
     return series.restricted(_events(spark, d), "user_id", "i", "v", F.col("i") % 2 == 1).select("user_id", "i", r6("rv", "rv"))
 
 
-_N9 = 9
-_M9 = np.stack([blocks.decompose(e) for e in np.eye(_N9)], axis=1)
-_BLOCK9 = f"""
+def projection(n: int, halving: bool = False) -> np.ndarray:
+    """The orthogonal decomposition of ``n`` nodes as a matrix, by its formula: level by level u - P u_c, and u_c + (P'MP)^-1 P'M (u - P u_c)."""
+    x, out = np.arange(n) / max(1, n - 1), np.eye(n)
+    if halving:
+        sets = [list(range(n))]
+        while len(sets[0]) > 2:
+            sets.insert(0, sorted({*sets[0][::2], n - 1}))
+    else:
+        power = (n - 1).bit_length() - 1 if n > 1 else 0
+        sets = [[j * (n - 1) // 2**k for j in range(2**k + 1)] for k in range(power + 1)] if n > 1 else [[0]]
+        sets += [list(range(n))] * (len(sets[-1]) < n)
+    for coarse, fine in list(zip(sets, sets[1:], strict=False))[::-1]:
+        up = np.stack([np.interp(x[fine], x[coarse], e) for e in np.eye(len(coarse))], 1)
+        h, m = np.diff(x[fine]), np.zeros((len(fine), len(fine)))
+        for k, w in enumerate(h):
+            m[k : k + 2, k : k + 2] += w / 6 * np.array([[2, 1], [1, 2]])
+        at = [fine.index(j) for j in coarse]
+        u = out[fine]
+        detail = u - up @ u[at]
+        detail[at] = u[at] + np.linalg.solve(up.T @ m @ up, up.T @ m @ detail)
+        out[fine] = detail
+    return out
+
+
+def _matrices(most: int, halving: bool = False) -> str:
+    return ", ".join(f"({n}, {i}, {j}, {float(v)!r}::double)" for n in range(1, most + 1) for (i, j), v in np.ndenumerate(projection(n, halving)))
+
+
+def _block_sql(size: int, halving: bool = False) -> str:
+    return f"""
     p as (select l_returnflag, l_extendedprice as v, row_number() over (partition by l_returnflag, l_orderkey // 64 order by l_orderkey, l_linenumber, l_extendedprice) - 1 as pos, l_orderkey // 64 as grp from lineitem),
-    b as (select l_returnflag, grp, pos // {_N9} as blk, pos % {_N9} as c, v, count(*) over (partition by l_returnflag, grp, pos // {_N9}) as n from p),
-    m(r, c, a) as (values {", ".join(f"({i}, {j}, {float(_M9[i, j])!r}::double)" for i in range(_N9) for j in range(_N9))})"""
+    b as (select l_returnflag, grp, pos // {size} as blk, pos % {size} as c, v, count(*) over (partition by l_returnflag, grp, pos // {size}) as n from p),
+    m(n, r, c, a) as (values {_matrices(size, halving)})"""
 
 
-def _blocks9(spark, d) -> DataFrame:
+def _price_blocks(spark, d, size: int) -> DataFrame:
     rows = table(spark, d, "lineitem").withColumn("grp", F.floor(F.col("l_orderkey") / 64))
-    rows = fields.number_in_blocks(rows, ["l_returnflag", "grp"], ["l_orderkey", "l_linenumber", "l_extendedprice"], _N9)
-    rows = rows.groupBy("l_returnflag", "grp", F.col("block").alias("blk")).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("l_extendedprice").alias("v")))).alias("r")).filter(F.size("r") == _N9)
+    rows = fields.number_in_blocks(rows, ["l_returnflag", "grp"], ["l_orderkey", "l_linenumber", "l_extendedprice"], size)
+    rows = rows.groupBy("l_returnflag", "grp", F.col("block").alias("blk")).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("l_extendedprice").alias("v")))).alias("r"))
     return rows.select("l_returnflag", "grp", "blk", F.transform("r", lambda x: x["v"]).alias("data"))
 
 
-@query(f"""with {_BLOCK9} select l_returnflag, grp, blk, r as i, cast(sign(sum(a * v)) * floor(abs(sum(a * v) / 0.7310585) + 0.5) as bigint) as coef from b join m using (c) where n = {_N9} group by all""")
+def _quantized_blocks(rows: DataFrame) -> DataFrame:
+    rows = rows.select("l_returnflag", "grp", "blk", F.posexplode("data").alias("i", "c"))
+    return rows.select("l_returnflag", "grp", "blk", "i", scalar.quantized(F.col("c"), F.lit(0.7310585)).alias("coef"))
+
+
+_COEFS = "select l_returnflag, grp, blk, r as i, cast(sign(sum(a * v)) * floor(abs(sum(a * v) / 0.7310585) + 0.5) as bigint) as coef from b join m using (n, c) group by all"
+
+
+@query(f"with {_block_sql(9)} {_COEFS}")
 def orthogonal_decompose(spark, d):
-    """Orthogonal coefficients of nine-node blocks: the block solver is linear, so the matrix of it says the same in SQL."""
-    rows = _blocks9(spark, d)
-    solver = F.array(*[F.array(*map(F.lit, row.tolist())) for row in _M9])
-    dot = lambda row: F.aggregate(F.zip_with(row, F.col("data"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return rows.select("l_returnflag", "grp", "blk", F.posexplode(F.transform(solver, dot)).alias("i", "c")).select("l_returnflag", "grp", "blk", "i", scalar.quantized(F.col("c"), F.lit(0.7310585)).alias("coef"))
+    """Orthogonal coefficients of blocks of up to nine nodes, the last ones shorter; the SQL has the projections' formula."""
+    return _quantized_blocks(fields.linear_blocks(_price_blocks(spark, d, 9), blocks.decompose))
+
+
+@query(f"with {_block_sql(10, True)} {_COEFS}")
+def halving_decompose(spark, d):
+    """The same on the halving hierarchy, where blocks of even sizes keep their last node on every level."""
+    return _quantized_blocks(fields.linear_blocks(_price_blocks(spark, d, 10), lambda u: blocks.decompose(u, kind=Halving)))
 
 
-@query(f"with {_BLOCK9} select l_returnflag, grp, blk, 0.0::double as worst from b where n = {_N9} group by all")
+@query(f"with {_block_sql(9)} select l_returnflag, grp, blk, round(max(v), 4) as top, 0.0::double as worst from b group by all")
 def orthogonal_roundtrip(spark, d):
-    rows = _blocks9(spark, d).withColumn("block_id", F.xxhash64("l_returnflag", "grp", "blk"))
-    back = fields.map_blocks(rows, lambda u: np.abs(blocks.recompose(blocks.decompose(u)) - u).max())
-    return rows.select("l_returnflag", "grp", "blk", "block_id").join(back, "block_id").select("l_returnflag", "grp", "blk", F.round(F.get("data", F.lit(0)), 6).alias("worst"))
+    """Values that come back from their coefficients: the largest one, and the worst error."""
+    rows = _price_blocks(spark, d, 9)
+    there = fields.linear_blocks(rows.withColumn("back", F.col("data")), blocks.decompose, "back")
+    back = fields.linear_blocks(there, blocks.recompose, "back")
+    return back.select("l_returnflag", "grp", "blk", F.round(F.array_max("back"), 4).alias("top"), F.round(F.array_max(F.zip_with("data", "back", lambda a, b: F.abs(a - b))), 6).alias("worst"))
 
 
 _TAU = 5.0

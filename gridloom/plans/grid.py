@@ -51,16 +51,38 @@ class Hierarchy:
         return out
 
 
-_known: dict[tuple[int, ...], Hierarchy] = {}
+class Halving(Hierarchy):
+    """Every other node goes at each step, the last one always stays: sizes n to n // 2 + 1, down to 2 along the shortest side."""
+
+    def __init__(self, shape: tuple[int, ...], most: int | None = None):
+        self.shape = check_shape(tuple(shape))
+        self.levels = halved_depth(shape, most)
+        self.sets = []
+        for n in shape:
+            sets = [np.arange(n)]
+            for _ in range(self.levels):
+                fine = sets[0]
+                coarse = fine[::2] if len(fine) % 2 else np.append(fine[::2], fine[-1])
+                sets.insert(0, fine if n == 1 else coarse)
+            self.sets.append(sets)
+
+    def level_shape(self, level: int) -> tuple[int, ...]:
+        return tuple(len(sets[level]) for sets in self.sets)
+
+    def indices(self, level: int, dim: int) -> np.ndarray:
+        return self.sets[dim][level]
+
+
+_known: dict[tuple, Hierarchy] = {}
 
 
-def hierarchy(shape: tuple[int, ...]) -> Hierarchy:
+def hierarchy(shape: tuple[int, ...], kind: type[Hierarchy] = Hierarchy) -> Hierarchy:
     """The hierarchy of a shape, held for the next block of that shape."""
-    if shape not in _known:
+    if (kind, shape) not in _known:
         if len(_known) > 256:
             _known.clear()
-        _known[shape] = Hierarchy(shape)
-    return _known[shape]
+        _known[kind, shape] = kind(shape)
+    return _known[kind, shape]
 
 
 def halved_levels(n: int) -> list[int]:

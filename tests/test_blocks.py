@@ -113,3 +113,45 @@ def test_plans():
     assert np.prod(grid.balanced_shape((3600, 2))) == 7200
     assert grid.halved_depth((6, 5)) == 2
     assert grid.parse_shape("3x4x5") == (3, 4, 5)
+
+
+@pytest.mark.parametrize("shape", [(2,), (3,), (4,), (10,), (33,), (34,), (7, 8), (6, 5, 9), (1, 12)])
+def test_halving_hierarchy(shape):
+    """Sizes as the halving rule says; both transforms invert; the transform is the projection by its formula."""
+    from gridloom.plans.catalogue import projection
+
+    rng = np.random.default_rng(2)
+    h = grid.Halving(shape)
+    for d, n in enumerate(shape):
+        assert [len(h.indices(k, d)) for k in range(h.levels, -1, -1)] == ([1] * (h.levels + 1) if n == 1 else grid.halved_levels(n)[: h.levels + 1])
+        assert all(set(h.indices(k, d)) <= set(h.indices(k + 1, d)) for k in range(h.levels))
+    u, x = rng.normal(size=shape), [np.cumsum(rng.uniform(1, 2, n)) for n in shape]
+    for correct in (True, False):
+        assert np.allclose(B.recompose(B.decompose(u, x, correct, kind=grid.Halving), x, correct, kind=grid.Halving), u)
+    assert np.allclose(B.recompose_by_dimension(B.decompose_by_dimension(u, x, grid.Halving), x, grid.Halving), u)
+    squares = B.component_squares(u, x, grid.Halving)
+    assert (squares >= 0).all() and np.isclose(squares.sum(), B.l2_norm(u, x) ** 2)
+    if len(shape) == 1:
+        assert np.allclose(B.decompose(u, kind=grid.Halving), projection(len(u), True) @ u) and np.allclose(B.decompose(u), projection(len(u)) @ u)
+
+
+def test_interpolation_is_a_matrix():
+    rng = np.random.default_rng(4)
+    x = np.cumsum(rng.uniform(1, 2, 17))
+    up = B.Interpolation(np.arange(17), np.array([0, 3, 4, 10, 16]), x)
+    m = np.stack([up.up(e, 0) for e in np.eye(5)], 1)
+    assert np.allclose(m, np.stack([np.interp(x, x[[0, 3, 4, 10, 16]], e) for e in np.eye(5)], 1))
+    u = rng.normal(size=(3, 17, 2))
+    assert np.allclose(up.down(u, 1), np.einsum("fc,afb->acb", m, u))
+
+
+def test_long_line():
+    """Memory in proportion to the line."""
+    import tracemalloc
+
+    u = np.random.default_rng(5).normal(size=200_000)
+    tracemalloc.start()
+    c = B.decompose(u, correct=False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * u.nbytes and np.allclose(B.recompose(c, correct=False), u)
