@@ -81,6 +81,47 @@ def greedy(errors: np.ndarray, sizes: np.ndarray, tolerance: float) -> list[int]
     return used
 
 
+def _by_rate(errors: np.ndarray, used: list[int], open_levels: list[int], tolerance: float, offer) -> list[int]:
+    """Take the offered run of planes with the best rate until the sum of errors is below the tolerance; ``offer(level, from)`` gives rate and end."""
+    left = sum(float(errors[level, k]) for level, k in enumerate(used))
+    last = errors.shape[1] - 1
+    heap = [(-offer(level, used[level])[0], level) for level in open_levels if used[level] < last]
+    heapq.heapify(heap)
+    while heap and left >= tolerance:
+        level = heapq.heappop(heap)[1]
+        to = offer(level, used[level])[1]
+        left += float(errors[level, to] - errors[level, used[level]])
+        used[level] = to
+        if to < last:
+            heapq.heappush(heap, (-offer(level, to)[0], level))
+    return used
+
+
+def greedy_after_first(errors: np.ndarray, sizes: np.ndarray, tolerance: float) -> list[int]:
+    """Planes per level where the first plane carries the signs: levels join from the coarsest, each with its first plane, until those that joined could reach the tolerance; then single planes by rate."""
+    used, reachable, joined = [0] * len(errors), float(errors[:, 0].sum()), []
+    for level in range(len(errors)):
+        used[level] = min(1, errors.shape[1] - 1)
+        joined.append(level)
+        reachable += float(errors[level, -1] - errors[level, 0])
+        if reachable < tolerance:
+            break
+    return _by_rate(errors, used, joined, tolerance, lambda level, k: ((errors[level, k] - errors[level, k + 1]) / max(1, sizes[level, k]), k + 1))
+
+
+def greedy_runs(errors: np.ndarray, sizes: np.ndarray, tolerance: float) -> list[int]:
+    """Planes per level for base -2 digits, where a plane alone may make the error larger: runs of planes, as long as the rate doesn't fall."""
+
+    def offer(level: int, k: int) -> tuple[float, int]:
+        rate = lambda to: (errors[level, k] - errors[level, to]) / max(1, sizes[level, k:to].sum())
+        to = k + 1
+        while to + 1 < errors.shape[1] - 1 and not rate(to) > max(0.0, rate(to + 1)):
+            to += 1
+        return rate(to), to
+
+    return _by_rate(errors, [0] * len(errors), list(range(len(errors))), tolerance, offer)
+
+
 def max_error_factor(dims: int, hierarchical: bool = False, negabinary: bool = False) -> float:
     """What multiplies the sum of levels' largest errors to bound the error in the maximum norm."""
     c = {1: 1 + math.sqrt(3) / 2, 2: 13 / 4, 3: 1 + 21 * math.sqrt(3) / 8}[dims]

@@ -49,6 +49,55 @@ def moments(df: DataFrame, key: list[str], f: Column, volume: Column, velocity:
     return out.select(*key, "density", mean.alias("mean_velocity"), (F.col("m2") / F.col("density") - mean * mean).alias("temperature"))
 
 
+def nested_regions(nodes: DataFrame, key: list[str], width: int, fractions: list[float], ratio: int) -> DataFrame:
+    """key, block: blocks of ``width`` nodes, the most active fraction kept, cut into ``ratio`` parts, and so on for every fraction."""
+    kept = None
+    for k, fraction in enumerate(fractions):
+        rows = nodes
+        if k:
+            rows = rows.withColumn("_outer", F.floor(F.col("i") / width)).join(kept.withColumnRenamed("block", "_outer"), [*key, "_outer"]).drop("_outer")
+            width = -(-width // ratio)
+        activity = block_activity(rows, key, F.floor(F.col("i") / width), "lvl", "coef")
+        kept = top_fraction(activity.withColumn("activity", F.round("activity", 9)), key, fraction).select(*key, "block")
+    return kept
+
+
+def plasma_moments(df: DataFrame, key: list[str], f: Column, volume: Column, mu: Column, vp: Column, vth: Column, mass: float, charge: float) -> DataFrame:
+    """density, flow along the field, temperatures across and along it, and their mean. Sums about zero give those about the flow: one pass, one shuffle."""
+    w = f * volume
+    sums = {"density": w, "s1": w * vp * vth, "s2": w * vp * vp * vth * vth, "sm": w * mu * vth * vth / 2}
+    out = df.groupBy(*key).agg(*[F.sum(c).alias(n) for n, c in sums.items()]).filter("density != 0")
+    n, flow = F.col("density"), F.col("s1") / F.col("density")
+    across, along = mass * F.col("sm") / n / charge, mass * (F.col("s2") / n - flow * flow) / charge
+    return out.select(*key, "density", flow.alias("flow"), across.alias("t_across"), along.alias("t_along"), ((2 * across + along) / 3).alias("t_mean"))
+
+
+def third_moments(df: DataFrame, key: list[str], f: Column, volume: Column, factor: Column, along: Column, across: Column) -> DataFrame:
+    """Sums of v^3 f and of v w^2 f with their volumes, v along the field and w across it."""
+    w = f * volume * factor
+    return df.groupBy(*key).agg(F.sum(w * along * along * along).alias("v3"), F.sum(w * along * across * across).alias("vw2"))
+
+
+def edge_factor(place: Column, last: int | Column, first: int | Column = 0) -> Column:
+    """Weights of a trapezoid rule: a half at both ends."""
+    return F.when((place == first) | (place == last), 0.5).otherwise(1.0)
+
+
+def drift(df: DataFrame, mass: float, charge: float) -> DataFrame:
+    """Drift in both directions of the plane from the field's strength and gradient, its curl, and the electric field, by columns b, gr, gz, cr, cz, er, ez, mu, vp."""
+    size = F.col("b")
+    along = mass * F.col("vp") * F.col("vp") / (charge * size)
+    push_r, push_z = (F.col("mu") * F.col(g) - charge * F.col(e) for g, e in (("gr", "er"), ("gz", "ez")))
+    return df.withColumn("dr", along * F.col("cr") - push_z / (charge * size)).withColumn("dz", along * F.col("cz") + push_r / (charge * size))
+
+
+def core_region(r: Column, z: Column, psi: Column, x1: tuple[float, float, float, float], x2: tuple[float, float, float, float], slack: float) -> Column:
+    """Whether a point is on the closed or outer side: lines of given slopes through two X points (r, z, psi, slope) divide the plane, by flux."""
+    side = lambda x: (z - x[1]) - (r - x[0]) * x[3]
+    below1, below2 = psi <= x1[2] - slack, psi <= x2[2] - slack
+    return (below1 & (side(x1) > 0) & (side(x2) < 0)) | (~below1 & below2 & (side(x2) < 0)) | ~below2
+
+
 def sparse_times(matrix: DataFrame, vector: DataFrame, row: str, col: str, weight: str, value: str) -> DataFrame:
     """Sparse matrix times vector, both as tables."""
     return matrix.join(vector, col).groupBy(row).agg(F.sum(F.col(weight) * F.col(value)).alias(value))
@@ -161,3 +210,26 @@ def refined_triangles(elements: DataFrame) -> DataFrame:
     mid = lambda i, j: F.concat_ws("-", F.least(n[i], n[j]), F.greatest(n[i], n[j]))
     children = F.array(F.array(n[0], mid(0, 1), mid(0, 2)), F.array(n[1], mid(0, 1), mid(1, 2)), F.array(n[2], mid(0, 2), mid(1, 2)), F.array(mid(0, 1), mid(0, 2), mid(1, 2)))
     return elements.select("element", F.posexplode(children).alias("child", "nodes"))
+
+
+def edge_length(p: Column, q: Column) -> Column:
+    return F.sqrt(sum((F.pow(q[c] - p[c], F.lit(2.0)) for c in ("x", "y", "z")), F.lit(0.0)))
+
+
+def tetrahedron_volume(p: Column, q: Column, r: Column, s: Column, signed: bool = False) -> Column:
+    """A sixth of the determinant of three edges; its sign is the orientation."""
+    a, b, c = ([v[k] - p[k] for k in ("x", "y", "z")] for v in (q, r, s))
+    det = a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
+    return det / 6 if signed else F.abs(det) / 6
+
+
+def midpoint_details(edges: DataFrame, values: DataFrame, middles: DataFrame) -> DataFrame:
+    """a, b, detail: the value at each edge's middle less the mean of its ends (the hierarchical coefficient of a new node)."""
+    ends = edges.join(values.toDF("a", "va"), "a").join(values.toDF("b", "vb"), "b").join(middles, ["a", "b"])
+    return ends.select("a", "b", (F.col("vm") - (F.col("va") + F.col("vb")) / 2).alias("detail"))
+
+
+def mesh_restriction(values: DataFrame, middles: DataFrame) -> DataFrame:
+    """Old nodes keep their entries, and each gets a half of every middle beside it."""
+    halves = middles.select(F.explode(F.array("a", "b")).alias("node"), (F.col("vm") / 2).alias("v"))
+    return values.select("node", "v").unionByName(halves).groupBy("node").agg(F.sum("v").alias("v")).join(values.select("node"), "node")

@@ -84,3 +84,26 @@ def restricted(df: DataFrame, key: str, i: str, v: str, new: Column) -> DataFram
     w = Window.partitionBy(key).orderBy(i)
     share = F.when(new, F.col(v) / 2).otherwise(0.0)
     return df.withColumn("rv", F.col(v) + F.coalesce(F.lag(share).over(w), F.lit(0.0)) + F.coalesce(F.lead(share).over(w), F.lit(0.0))).filter(~new)
+
+
+def halving(series: DataFrame, key: str) -> DataFrame:
+    """key, i, v, lvl, coef on the halving hierarchy: a node's lowest bit is its step, and the last node is on every level."""
+    rows = series.select(key, F.col("n").cast("long").alias("n"), "values", F.posexplode("values").alias("pos", "v")).withColumn("i", F.col("pos").cast("long"))
+    step = F.col("i").bitwiseAND(-F.col("i"))
+    old = (F.col("i") == 0) | (F.col("i") == F.col("n") - 1)
+    il, ir = F.col("i") - step, F.least(F.col("i") + step, F.col("n") - 1)
+    value = lambda j: F.get("values", j.cast("int"))
+    interp = value(il) + step / (ir - il) * (value(ir) - value(il))
+    lvl = F.when(old, 0).otherwise(F.length(F.bin(F.col("n") - 2)) - (F.length(F.bin(step)) - 1))
+    return rows.select(key, "i", "v", lvl.cast("int").alias("lvl"), F.when(old, F.col("v")).otherwise(F.col("v") - interp).alias("coef"))
+
+
+def from_level(series: DataFrame, key: str, level: int) -> DataFrame:
+    """key, i, v: what the nodes of a level say of all, with zero coefficients beyond it."""
+    n, l = F.col("n").cast("long"), F.lit(level)
+    rows = series.select(key, n.alias("n"), "values", F.posexplode("values").alias("pos", "v")).select(key, "n", "values", F.col("pos").cast("long").alias("i"))
+    j = _coarse_right(F.col("i"), F.col("n"), l)
+    il, ir = node_of(F.greatest(j - 1, F.lit(0)), F.col("n"), l), node_of(j, F.col("n"), l)
+    value = lambda k: F.get("values", k.cast("int"))
+    between = value(il) + (F.col("i") - il) / (ir - il) * (value(ir) - value(il))
+    return rows.select(key, "i", F.when(F.col("i") == ir, value(ir)).otherwise(between).alias("v"))

@@ -655,3 +655,4 @@ def window_norms(spark, d):
     return rows.select("start", "n", r6("linf", "linf"))
 
 
+from gridloom.plans import extended  # noqa: E402, F401  registers further queries
