@@ -56,10 +56,28 @@ def huffman_decode(data: bytes) -> np.ndarray:
     symbols = np.frombuffer(data, "<i8", k, 16)
     lengths = np.frombuffer(data, "u1", k, 16 + 8 * k).astype(np.int64)
     codes = canonical(lengths)
+    raw = np.unpackbits(np.frombuffer(data, np.uint8, offset=16 + 9 * k))
+    widest = int(lengths.max(initial=1))
+    if widest > 20:
+        return _decode_bits(raw, symbols, lengths, codes, n)
+    # the next ``widest`` bits at every place say which symbol begins there
+    window = np.zeros(len(raw), np.int64)
+    for b in range(widest):
+        window[: len(raw) - b] |= raw[b:].astype(np.int64) << (widest - 1 - b)
+    order = np.argsort(codes << (widest - lengths).astype(np.uint64), kind="stable")
+    which = order[np.searchsorted((codes << (widest - lengths).astype(np.uint64))[order], window.astype(np.uint64), "right") - 1] if k else window
+    steps, out, at = lengths[which].tolist() if k else [], np.empty(n, np.int64), 0
+    for i in range(n):
+        out[i] = at
+        at += steps[at]
+    return symbols[which[out]] if n else out
+
+
+def _decode_bits(raw: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+    """Bit by bit, for codes too long for windows."""
     table = {(int(size), int(c)): i for i, (size, c) in enumerate(zip(lengths, codes, strict=True))}
-    out, code, size = np.empty(n, np.int64), 0, 0
-    bits, at = np.unpackbits(np.frombuffer(data, np.uint8, offset=16 + 9 * k)), 0
-    for bit in bits.tolist():
+    out, code, size, at = np.empty(n, np.int64), 0, 0, 0
+    for bit in raw.tolist():
         if at == n:
             break
         code, size = code << 1 | bit, size + 1

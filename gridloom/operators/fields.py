@@ -65,21 +65,35 @@ def linear_blocks(df: DataFrame, f, column: str = "data", most: int = 64) -> Dat
     return df.mapInArrow(run, df.schema)
 
 
+def _of_one_shape(shapes: list[tuple[int, ...]], most: int = 1 << 20) -> Iterator[tuple[tuple[int, ...], list[int]]]:
+    """Each shape with the blocks that have it, as many at a time as ``most`` nodes."""
+    held: dict[tuple[int, ...], list[int]] = {}
+    for i, own in enumerate(shapes):
+        held.setdefault(own, []).append(i)
+    for own, at in held.items():
+        step = max(1, most // math.prod(own))
+        for k in range(0, len(at), step):
+            yield own, at[k : k + step]
+
+
 def compress(blocks: DataFrame, shape: tuple[int, ...] | None, tolerance: float, s: float = math.inf, codec: str = "huffman+zstd", relative: bool = False) -> DataFrame:
     """block_id, shape, tolerance, codec, payload: blocks whose decoded values stay within the tolerance of their own norm."""
 
-    def one(data: np.ndarray) -> tuple:
-        u = data.reshape(shape or (len(data),))
-        tau = tolerance * max(B.s_norm(u, s), np.finfo(float).eps) if relative else tolerance
-        q = B.quantize(B.decompose(u), B.quanta(u.shape, tau, s))
-        # levels together: neighbours in the stream are alike
-        order = np.argsort(hierarchy(u.shape).birth_grid().ravel(), kind="stable")
-        return u.shape, tau, *encode(q.ravel()[order], codec)
-
     def run(batches):
         for pdf in batches:
-            made = [one(np.asarray(d, float)) for d in pdf["data"]]
-            yield pd.DataFrame({"block_id": pdf["block_id"], "shape": [list(m[0]) for m in made], "tau": [m[1] for m in made], "codec": [m[2] for m in made], "payload": [m[3] for m in made], "raw_bytes": [8 * len(d) for d in pdf["data"]]})
+            data = [np.asarray(d, float) for d in pdf["data"]]
+            made: list[tuple] = [()] * len(data)
+            for own, at in _of_one_shape([shape or (len(d),) for d in data]):
+                u = np.stack([data[i].reshape(own) for i in at], -1)
+                tau = np.asarray([tolerance * max(B.s_norm(u[..., k], s), np.finfo(float).eps) for k in range(len(at))]) if relative else np.full(len(at), tolerance)
+                # quanta are proportional to the tolerance
+                q = B.quantize(B.decompose(u, batch=1), B.quanta(own, 1.0, s)[..., None] * tau)
+                # levels together: neighbours in the stream are alike
+                order = np.argsort(hierarchy(own).birth_grid().ravel(), kind="stable")
+                q = q.reshape(-1, len(at))[order]
+                for k, i in enumerate(at):
+                    made[i] = (list(own), tau[k], *encode(np.ascontiguousarray(q[:, k]), codec))
+            yield pd.DataFrame({"block_id": pdf["block_id"], "shape": [m[0] for m in made], "tau": [m[1] for m in made], "codec": [m[2] for m in made], "payload": [m[3] for m in made], "raw_bytes": [8 * len(d) for d in data]})
 
     return blocks.select("block_id", "data").mapInPandas(run, "block_id long, shape array<int>, tau double, codec string, payload binary, raw_bytes long")
 
@@ -87,16 +101,19 @@ def compress(blocks: DataFrame, shape: tuple[int, ...] | None, tolerance: float,
 def decompress(coded: DataFrame, s: float = math.inf, stop: int | None = None) -> DataFrame:
     """block_id, data; ``stop``: the level to decode to."""
 
-    def one(shape: list[int], tau: float, codec: str, payload: bytes) -> list[float]:
-        shape = tuple(map(int, shape))
-        order = np.argsort(hierarchy(shape).birth_grid().ravel(), kind="stable")
-        q = np.empty(math.prod(shape), np.int64)
-        q[order] = CODECS[codec][1](payload)
-        return B.recompose(q.reshape(shape) * B.quanta(shape, tau, s), stop=stop).ravel().tolist()
-
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"block_id": pdf["block_id"], "data": [one(*r) for r in zip(pdf["shape"], pdf["tau"], pdf["codec"], pdf["payload"], strict=True)]})
+            out: list = [[]] * len(pdf)
+            for own, at in _of_one_shape([tuple(map(int, x)) for x in pdf["shape"]]):
+                order = np.argsort(hierarchy(own).birth_grid().ravel(), kind="stable")
+                q = np.empty((math.prod(own), len(at)))
+                for k, i in enumerate(at):
+                    q[order, k] = CODECS[pdf["codec"][i]][1](pdf["payload"][i])
+                c = q.reshape(*own, len(at)) * (B.quanta(own, 1.0, s)[..., None] * pdf["tau"].to_numpy()[at])
+                u = B.recompose(c, stop=stop, batch=1).reshape(-1, len(at))
+                for k, i in enumerate(at):
+                    out[i] = u[:, k].tolist()
+            yield pd.DataFrame({"block_id": pdf["block_id"], "data": out})
 
     return coded.select("block_id", "shape", "tau", "codec", "payload").mapInPandas(run, "block_id long, data array<double>")
 

@@ -143,9 +143,11 @@ def nearest(values: DataFrame, value: str, centres: list[float]) -> DataFrame:
     return values.withColumn("centre", best["c"])
 
 
-def lloyd(values: DataFrame, value: str, k: int, most: int = 50, threshold: float = 1e-4) -> list[float]:
+def lloyd(values: DataFrame, value: str, k: int, most: int = 1000, threshold: float = 1e-4) -> list[float]:
     """One-dimensional k-means; each round is one aggregate with k rows."""
     low, high = values.agg(F.min(value), F.max(value)).first()
+    if low is None:
+        return []
     centres = list(np.linspace(low, high, k))
     for _ in range(most):
         means = {r["centre"]: r["m"] for r in nearest(values, value, centres).groupBy("centre").agg(F.avg(value).alias("m")).collect()}

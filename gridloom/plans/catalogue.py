@@ -494,11 +494,21 @@ def nearest_centroid(spark, d):
     return quantities.nearest(table(spark, d, "customer"), "c_acctbal", [0.0, 2500.0, 7500.0]).select("c_custkey", "centre")
 
 
-@query()
+@query("""with recursive l(step, a, b, c, e, moved) as (
+        select 0, min(c_acctbal), min(c_acctbal) + (max(c_acctbal) - min(c_acctbal)) / 3, min(c_acctbal) + 2 * (max(c_acctbal) - min(c_acctbal)) / 3, max(c_acctbal), 1e9 from customer
+        union all
+        select any_value(step) + 1, coalesce(avg(x) filter (k = 0), any_value(a)), coalesce(avg(x) filter (k = 1), any_value(b)), coalesce(avg(x) filter (k = 2), any_value(c)), coalesce(avg(x) filter (k = 3), any_value(e)),
+               greatest(abs(coalesce(avg(x) filter (k = 0), any_value(a)) - any_value(a)), abs(coalesce(avg(x) filter (k = 1), any_value(b)) - any_value(b)), abs(coalesce(avg(x) filter (k = 2), any_value(c)) - any_value(c)), abs(coalesce(avg(x) filter (k = 3), any_value(e)) - any_value(e)))
+        from (select l.*, c_acctbal as x, case when abs(c_acctbal - a) <= abs(c_acctbal - b) then 0 when abs(c_acctbal - b) <= abs(c_acctbal - c) then 1 when abs(c_acctbal - c) <= abs(c_acctbal - e) then 2 else 3 end as k from l, customer where moved >= 1e-4 and step < 1000)
+        having count(*) > 0),
+    z as (select * from l where step = (select max(step) from l)),
+    n as (select case when abs(c_acctbal - a) <= abs(c_acctbal - b) then a when abs(c_acctbal - b) <= abs(c_acctbal - c) then b when abs(c_acctbal - c) <= abs(c_acctbal - e) then c else e end as centre from z, customer)
+    select round(centre, 3) as centre, count(*) as n from n group by all""")
 def kmeans_values(spark, d):
+    """Lloyd's rounds from four evenly spaced centres, and how many values go to each."""
     rows = table(spark, d, "customer")
     centres = quantities.lloyd(rows, "c_acctbal", 4)
-    return quantities.nearest(rows, "c_acctbal", centres).groupBy("centre").agg(F.count("*").alias("n"))
+    return quantities.nearest(rows, "c_acctbal", centres).groupBy(F.round("centre", 3).alias("centre")).agg(F.count("*").alias("n"))
 
 
 # --- contours and meshes ------------------------------------------------------------------------------
@@ -576,18 +586,27 @@ def uniform_refine(spark, d):
     return quantities.refined_triangles(_triangles(spark, d)).agg(F.count("*").alias("triangles"), F.count_distinct("element").alias("parents"))
 
 
-@query()
+@query(f"""with recursive {_SERIES}, t as (select *, 1::double / (n - 1) as h, case when i = 0 or i = n - 1 then 1 else 2 end as sides from g),
+    f(user_id, n, i, h, diagonal, rhs) as (
+        select user_id, n, i, h, h / 3, v from t where i = 0
+        union all
+        select t.user_id, t.n, t.i, t.h, t.sides * t.h / 3 - t.h / 6 * t.h / 6 / f.diagonal, t.v - t.h / 6 / f.diagonal * f.rhs from f join t on t.user_id = f.user_id and t.i = f.i + 1),
+    b(user_id, i, x) as (
+        select user_id, i, rhs / diagonal from f where i = n - 1
+        union all
+        select f.user_id, f.i, (f.rhs - f.h / 6 * b.x) / f.diagonal from b join f on f.user_id = b.user_id and f.i = b.i - 1)
+    select user_id, i, round(x, 4) as x from b""")
 def mass_solve(spark, d):
-    """Conjugate gradients with each series' mass matrix; the residual is the result."""
+    """Conjugate gradients with each series' mass matrix; the SQL eliminates."""
 
     def one(pdf):
-        v = pdf.sort_values("i")["v"].to_numpy()
+        pdf = pdf.sort_values("i")
+        v = pdf["v"].to_numpy()
         x = np.linspace(0, 1, len(v))
         diagonal = blocks.mass(np.ones_like(v), x, 0)
-        out = quantities.conjugate_gradient(lambda u: blocks.mass(u, x, 0), v, diagonal)
-        return pdf[["user_id"]].iloc[:1].assign(residual=float(np.abs(blocks.mass(out, x, 0) - v).max()))
+        return pdf[["user_id", "i"]].assign(x=quantities.conjugate_gradient(lambda u: blocks.mass(u, x, 0), v, diagonal, 1e-15))
 
-    return _events(spark, d).groupBy("user_id").applyInPandas(one, "user_id long, residual double").select("user_id", F.round("residual", 6).alias("residual"))
+    return _events(spark, d).groupBy("user_id").applyInPandas(one, "user_id long, i long, x double").select("user_id", "i", F.round("x", 4).alias("x"))
 
 
 # --- scans, sorts, coding ---------------------------------------------------------------------------------

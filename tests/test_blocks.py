@@ -155,3 +155,44 @@ def test_long_line():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40 * u.nbytes and np.allclose(B.recompose(c, correct=False), u)
+
+
+def test_batches_of_fields():
+    rng = np.random.default_rng(6)
+    for kind in (grid.Hierarchy, grid.Halving):
+        u = rng.normal(size=(10, 7, 4))
+        c = B.decompose(u, kind=kind, batch=1)
+        assert np.allclose(c, np.stack([B.decompose(u[..., k], kind=kind) for k in range(4)], -1)) and np.allclose(B.recompose(c, kind=kind, batch=1), u)
+
+
+def test_plans_by_rate():
+    """Greedy plans reach the tolerance, take planes from the front, and stop as told."""
+    from gridloom.operators import bitplanes
+
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        errors = np.sort(rng.uniform(0, 1, (4, 9)), 1)[:, ::-1] * 4.0 ** -np.arange(4)[:, None]
+        errors[:, -1] = 0
+        sizes, tolerance = rng.integers(1, 50, (4, 8)), float(rng.uniform(0.001, 2))
+        error = lambda used: sum(errors[k, n] for k, n in enumerate(used))
+        after_first, runs = bitplanes.greedy_after_first(errors, sizes, tolerance), bitplanes.greedy_runs(errors, sizes, tolerance)
+        assert error(after_first) < tolerance or after_first == [8] * 4
+        assert error(runs) < tolerance or runs == [8] * 4
+        taken = [n > 0 for n in after_first]
+        assert taken == sorted(taken, reverse=True) and after_first[0] >= 1
+        if not all(taken):
+            # what didn't join wasn't needed
+            assert errors[sum(taken) :, 0].sum() < tolerance
+    # one plane makes it worse, two together are the best offer
+    assert bitplanes.greedy_runs(np.array([[4.0, 5.0, 1.0, 0.5]]), np.array([[1, 1, 1]]), 2.0) == [2]
+
+
+def test_huffman_windows():
+    rng = np.random.default_rng(8)
+    for v in (np.zeros(0, np.int64), np.full(9, 5), rng.integers(-3, 4, 1000), np.repeat(np.arange(26), [2**k // 64 + 1 for k in range(26)])[::7]):
+        assert (huffman_decode(huffman_encode(v)) == v).all()
+    fib = [1, 1]
+    while len(fib) < 27:
+        fib.append(fib[-1] + fib[-2])
+    long = np.repeat(np.arange(27), fib)
+    assert code_lengths(np.asarray(fib)).max() > 20 and (huffman_decode(huffman_encode(long)) == long).all()
