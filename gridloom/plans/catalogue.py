@@ -548,9 +548,12 @@ def _points(spark) -> DataFrame:
 
 
 def _measured(spark, d) -> DataFrame:
-    flat = _triangles(spark, d).select("element", "nodes", F.posexplode("nodes").alias("k", "node")).join(_points(spark), "node")
-    corners = flat.groupBy("element").agg(F.first("nodes").alias("nodes"), F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("p"))
-    return corners.select("element", "nodes", quantities.triangle_area(F.col("p")[0], F.col("p")[1], F.col("p")[2]).alias("measure"))
+    rows = _triangles(spark, d)
+    for k in range(3):
+        # the table of points is small, and Spark knows its size
+        corner = _points(spark).select(F.col("node").alias(f"_n{k}"), F.struct("x", "y").alias(f"_p{k}"))
+        rows = rows.join(corner, F.col("nodes")[k] == F.col(f"_n{k}"))
+    return rows.select("element", "nodes", quantities.triangle_area(F.col("_p0"), F.col("_p1"), F.col("_p2")).alias("measure"))
 
 
 @query(f"with {_TRI} select distinct least(u, w) as a, greatest(u, w) as b from (select unnest([nodes[1], nodes[1], nodes[2]]) as u, unnest([nodes[2], nodes[3], nodes[3]]) as w from t)")
@@ -581,9 +584,13 @@ def mesh_mass(spark, d):
     return quantities.mesh_mass(_measured(spark, d), values).select("node", F.round("mv", 4).alias("mv"))
 
 
-@query(f"with {_TRI} select 4 * count(*) as triangles, count(distinct element) as parents from t")
+@query(f"""with {_TRI}, m as (select element, nodes[1]::varchar as a, nodes[2]::varchar as b, nodes[3]::varchar as c, least(nodes[1]::varchar, nodes[2]::varchar) || '-' || greatest(nodes[1]::varchar, nodes[2]::varchar) as ab,
+        least(nodes[1]::varchar, nodes[3]::varchar) || '-' || greatest(nodes[1]::varchar, nodes[3]::varchar) as ac, least(nodes[2]::varchar, nodes[3]::varchar) || '-' || greatest(nodes[2]::varchar, nodes[3]::varchar) as bc from t)
+    select element, 0 as child, a as p, ab as q, ac as r from m union all select element, 1, b, ab, bc from m union all select element, 2, c, ac, bc from m union all select element, 3, ab, ac, bc from m""")
 def uniform_refine(spark, d):
-    return quantities.refined_triangles(_triangles(spark, d)).agg(F.count("*").alias("triangles"), F.count_distinct("element").alias("parents"))
+    """Every triangle's four children, by the names of their corners."""
+    rows = quantities.refined_triangles(_triangles(spark, d))
+    return rows.select("element", "child", *[F.col("nodes")[k].alias(c) for k, c in enumerate("pqr")])
 
 
 @query(f"""with recursive {_SERIES}, t as (select *, 1::double / (n - 1) as h, case when i = 0 or i = n - 1 then 1 else 2 end as sides from g),
