@@ -146,3 +146,10 @@ def checked(coded: DataFrame) -> DataFrame:
     major = F.split("header.version", r"\.")[0].cast("int")
     ok = (F.crc32(F.to_json("header").cast("binary")) == F.col("header_crc")) & (major <= VERSION[0])
     return coded.withColumn("header", F.when(ok, F.col("header")).otherwise(F.raise_error(F.lit("the header is damaged or too new"))))
+
+
+def inferred(coded: DataFrame) -> DataFrame:
+    """What a block is, from its header alone: payloads are neither read nor decoded."""
+    h = F.col("header")
+    nodes = F.aggregate(h["shape"], F.lit(1).cast("long"), lambda a, n: a * n)
+    return checked(coded).select("block_id", h["version"].alias("version"), F.size(h["shape"]).alias("dims"), nodes.alias("nodes"), h["dtype"].alias("dtype"), h["levels"].alias("levels"), (h["mode"] == "relative").alias("relative"), h["tolerance"].alias("tolerance"), h["codec"].alias("codec"))

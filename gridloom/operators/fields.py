@@ -10,9 +10,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridloom.operators import blocks as B
+from gridloom.operators import blocks as B, quantities
 from gridloom.operators.bitplanes import greedy
-from gridloom.operators.coding import CODECS, _unzstd, _zstd, encode
+from gridloom.operators.coding import CODECS, _unzstd, _zstd, encode, encode_blocks
 from gridloom.plans.grid import hierarchy
 
 
@@ -118,8 +118,24 @@ def decompress(coded: DataFrame, s: float = math.inf, stop: int | None = None) -
     return coded.select("block_id", "shape", "tau", "codec", "payload").mapInPandas(run, "block_id long, data array<double>")
 
 
-def refactor(blocks: DataFrame, planes: int = 32) -> DataFrame:
+def _adaptive(words: list[bytes], least: float = 1.05, resume: int = 26) -> list[tuple[str, bytes]]:
+    """Planes of a level coded until one hardly shrinks; after it they are stored as they are, up to plane ``resume``."""
+    out, on = [], True
+    for plane, word in enumerate(words):
+        on = on or plane >= resume
+        coded = _zstd(word, 1) if on else word
+        on = on and len(word) >= least * len(coded)
+        out.append(("zstd", coded) if len(coded) < len(word) else ("raw", word))
+    return out
+
+
+#: How the planes of a level are stored.
+LEVEL_CODECS = {"raw": lambda words: [("raw", w) for w in words], "zstd": lambda words: [("zstd", _zstd(w, 1)) for w in words], "adaptive": _adaptive}
+
+
+def refactor(blocks: DataFrame, planes: int = 32, level_codec: str = "zstd") -> DataFrame:
     """A row per fragment (block, level, bit plane): payload and the squared error left without this plane and those after it."""
+    store = LEVEL_CODECS[level_codec]
 
     def one(block_id: int, data: np.ndarray) -> list[tuple]:
         h, c = hierarchy(data.shape), B.decompose(data)
@@ -129,31 +145,34 @@ def refactor(blocks: DataFrame, planes: int = 32) -> DataFrame:
             top = np.abs(v).max(initial=0)
             exp = int(np.frexp(top)[1]) if top else 0
             fp = np.minimum(np.floor(np.ldexp(np.abs(v), planes - exp)), 2.0**planes - 1).astype(np.int64)
-            sign = np.packbits(v < 0).tobytes()
-            for plane in range(planes):
-                word = np.packbits((fp >> (planes - 1 - plane)) & 1).tobytes()
-                before, after = ((np.abs(v) - np.ldexp((fp >> (planes - k) << (planes - k)).astype(float), exp - planes)) for k in (plane, plane + 1))
-                payload = _zstd((sign if plane == 0 else b"") + word, 1)
-                rows.append((block_id, len(data), level, plane, exp, len(v), float((before**2).sum()), float((after**2).sum()), len(payload), payload))
+            words = [np.packbits((fp >> (planes - 1 - plane)) & 1).tobytes() for plane in range(planes)]
+            words[0] = np.packbits(v < 0).tobytes() + words[0]
+            left = [float(((np.abs(v) - np.ldexp((fp >> (planes - k) << (planes - k)).astype(float), exp - planes)) ** 2).sum()) for k in range(planes + 1)]
+            for plane, (codec, payload) in enumerate(store(words)):
+                rows.append((block_id, len(data), level, plane, exp, len(v), left[plane], left[plane + 1], len(payload), codec, payload))
         return rows
 
-    names = ["block_id", "n", "level", "bitplane", "exp", "elements", "sq_before", "sq_after", "size", "payload"]
+    names = ["block_id", "n", "level", "bitplane", "exp", "elements", "sq_before", "sq_after", "size", "codec", "payload"]
 
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame([r for b, d in zip(pdf["block_id"], pdf["data"], strict=True) for r in one(b, np.asarray(d, float))], columns=names)
 
-    return blocks.select("block_id", "data").mapInPandas(run, "block_id long, n int, level int, bitplane int, exp int, elements int, sq_before double, sq_after double, size long, payload binary")
+    return blocks.select("block_id", "data").mapInPandas(run, "block_id long, n int, level int, bitplane int, exp int, elements int, sq_before double, sq_after double, size long, codec string, payload binary")
 
 
-def request(fragments: DataFrame, tolerance: float) -> DataFrame:
-    """block_id, level, planes that an L2 tolerance needs, by the most error saved per byte; reads metadata columns only."""
+def request(fragments: DataFrame, tolerance: float, s: float | None = None, dims: int = 1, plan_by=greedy) -> DataFrame:
+    """block_id, level, planes that a tolerance needs, by the most error saved per byte; reads metadata columns only.
+
+    Without ``s`` squared errors of coefficients add up; with it each level's weigh as in the s-norm's estimate.
+    """
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["level", "bitplane"])
         levels = pdf["level"].nunique()
         before, after = (pdf[c].to_numpy().reshape(levels, -1) for c in ("sq_before", "sq_after"))
-        used = greedy(np.c_[before, after[:, -1:]], pdf["size"].to_numpy().reshape(levels, -1), tolerance**2)
+        weight = 1.0 if s is None else np.exp2(2 * s * np.arange(levels) + dims * (levels - 1 - np.arange(levels)))[:, None]
+        used = plan_by(weight * np.c_[before, after[:, -1:]], pdf["size"].to_numpy().reshape(levels, -1), tolerance**2)
         return pd.DataFrame({"block_id": pdf["block_id"].iloc[0], "level": range(levels), "planes": used})
 
     return fragments.select("block_id", "level", "bitplane", "sq_before", "sq_after", "size").groupBy("block_id").applyInPandas(plan, "block_id long, level int, planes int")
@@ -175,8 +194,8 @@ def refine(fragments: DataFrame, plan: DataFrame, loaded: DataFrame | None = Non
         for level, rows in pdf.groupby("level"):
             k, exp, start = int(rows["elements"].iloc[0]), int(rows["exp"].iloc[0]), int(rows["from"].fillna(0).iloc[0])
             fp, sign, width = np.zeros(k, np.int64), np.ones(k), -(-k // 8)
-            for plane, payload in zip(rows["bitplane"], rows["payload"], strict=True):
-                raw = np.frombuffer(_unzstd(payload), np.uint8)
+            for plane, codec, payload in zip(rows["bitplane"], rows["codec"], rows["payload"], strict=True):
+                raw = np.frombuffer(_unzstd(payload) if codec == "zstd" else payload, np.uint8)
                 if plane == 0:
                     sign, raw = 1.0 - 2 * np.unpackbits(raw[:width], count=k), raw[width:]
                 if plane >= start:
@@ -190,3 +209,13 @@ def refine(fragments: DataFrame, plan: DataFrame, loaded: DataFrame | None = Non
 def added(before: DataFrame, delta: DataFrame) -> DataFrame:
     both = before.join(delta.withColumnRenamed("data", "_d"), "block_id", "left")
     return both.select("block_id", F.when(F.col("_d").isNull(), F.col("data")).otherwise(F.zip_with("data", "_d", lambda a, b: a + b)).alias("data"))
+
+
+def compress_regions(nodes: DataFrame, key: str, width: int, fractions: list[float], ratio: int, radius: int, quantum: float, scale: int, codec: str = "huffman+zstd") -> DataFrame:
+    """block_id, codec, payload, raw_bytes: series (key, n, i, lvl, coef) quantized finely in their most active regions and around them, coarsely elsewhere, and coded. All values are multiples of the fine quantum, so a decoder needs no map."""
+    kept = quantities.nested_regions(nodes, [key], width, fractions, ratio)
+    finest = -(-width // ratio ** (len(fractions) - 1))
+    zoned = quantities.level_zones(nodes, kept, key, finest, radius)
+    q = zoned.withColumn("_q", quantities.roi_quantized(F.col("coef"), F.lit(quantum), F.col("zone"), scale))
+    blocks = q.groupBy(F.col(key).cast("long").alias("block_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "_q"))), lambda r: r["_q"]).alias("q"))
+    return encode_blocks(blocks, codec)

@@ -35,6 +35,16 @@ def zones(nodes: DataFrame, kept: DataFrame, key: list[str], width: int, radius:
     return found.groupBy(*own).agg(F.coalesce(zone, F.lit(BACKGROUND)).cast("int").alias("zone"))
 
 
+def level_zones(nodes: DataFrame, kept: DataFrame, key: str, width: int, radius: int) -> DataFrame:
+    """Adds zone to nodes (i, lvl): a node that a level brings reaches as many of its level's steps around kept blocks as ``radius`` says. A series' kept blocks go to its nodes as one array."""
+    blocks = kept.groupBy(key).agg(F.collect_list("block").alias("_kept"))
+    top = nodes.groupBy(key).agg(F.max("lvl").alias("_top"))
+    gap = F.array_min(F.transform("_kept", lambda b: F.greatest(b * width - F.col("i"), F.col("i") - b * width - (width - 1), F.lit(0))))
+    rows = nodes.join(blocks, key, "left").join(top, key).withColumn("_gap", gap)
+    zone = F.when(F.col("_gap") == 0, INTEREST).when(F.col("_gap") <= radius * F.pow(F.lit(2.0), F.col("_top") - F.col("lvl")), BUFFER).otherwise(BACKGROUND)
+    return rows.withColumn("zone", zone).drop("_kept", "_top", "_gap")
+
+
 def roi_quantized(coef: Column, quantum: Column, zone: Column, scale: int) -> Column:
     """Coarser in the background, yet in multiples of the fine quantum: a decoder needs no map."""
     fine, coarse = (F.signum(coef) * F.floor(F.abs(coef / q) + 0.5) for q in (quantum, quantum * scale))

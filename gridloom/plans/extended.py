@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gridloom.operators import bitplanes, domains, quantities, series
+from gridloom.operators import bitplanes, coding, domains, fields, quantities, series
 from gridloom.plans.catalogue import _LEVELS, _SERIES, _TRI, _events, _nodes, _points, _triangles, query, r6, table
 from gridloom.plans.grid import cubic_blocks, split_longest
 
@@ -197,6 +197,29 @@ def nested_regions(spark, d):
     return quantities.nested_regions(rows, ["user_id"], 16, [0.5, 0.25], 4).select("user_id", "block")
 
 
+@query(f"""with {_LEVELS}, w as (select *, v - interp as coef, case when lvl > 0 then v - interp else 0 end as d, max(lvl) over (partition by user_id) as top from c),
+    a as (select user_id, i // 16 as b, round(sum(abs(d)) / count(*), 9) as m from w group by all),
+    ka as (select user_id, b from (select *, row_number() over (partition by user_id order by m desc, b) as k, count(*) over (partition by user_id) as n from a) where k <= ceil(0.5 * n)),
+    ib as (select w.user_id, i // 4 as b, round(sum(abs(d)) / count(*), 9) as m from w join ka on ka.user_id = w.user_id and ka.b = i // 16 group by all),
+    kb as (select user_id, b from (select *, row_number() over (partition by user_id order by m desc, b) as k, count(*) over (partition by user_id) as n from ib) where k <= ceil(0.25 * n)),
+    g2 as (select w.*, (select min(greatest(b * 4 - i, i - b * 4 - 3, 0)) from kb where kb.user_id = w.user_id) as gap from w)
+    select user_id as block_id, cast(i as int) as i, cast(case when gap <= 2 * power(2, top - lvl) then sign(coef) * floor(abs(coef / 0.25) + 0.5) else 23 * sign(coef) * floor(abs(coef / (0.25 * 23)) + 0.5) end as bigint) as q from g2""")
+def compress_roi(spark, d):
+    """Regions found, zones by level, quantized, coded and decoded again."""
+    rows = series.hierarchical(_nodes(spark, d)).select("user_id", "n", "i", "lvl", "coef")
+    coded = fields.compress_regions(rows, "user_id", 16, [0.5, 0.25], 4, 2, 0.25, 23)
+    return coding.decode_blocks(coded).select("block_id", F.posexplode("q").alias("i", "q"))
+
+
+@query("select o_custkey as block_id, 1 as dims, count(*) as nodes, 'double' as dtype, 0.5::double as tolerance from orders group by o_custkey")
+def header_inferred(spark, d):
+    """Sizes and settings of coded blocks, without their payloads."""
+    rows = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("long").alias("block_id")).agg(F.collect_list((F.col("o_totalprice") / 100).cast("long")).alias("q"))
+    coded = coding.encode_blocks(rows, "zstd").withColumn("nodes", (F.col("raw_bytes") / 8).cast("int"))
+    coded = coding.with_header(coded, shape=F.array("nodes"), dtype="double", norm="infinity", tolerance=0.5, levels=1)
+    return coding.inferred(coded).select("block_id", "dims", "nodes", "dtype", "tolerance")
+
+
 @query(f"""with {_LEVELS} select user_id, i from (select user_id, i, row_number() over (partition by user_id order by round(v - interp, 9) desc, i) as k, count(*) over (partition by user_id) as n from c) where k <= ceil(0.1 * n)""")
 def top_nodes(spark, d):
     """Nodes with the largest coefficients, signs and all."""

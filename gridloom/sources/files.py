@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -59,3 +62,79 @@ def read_gmsh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     tags = F.col("p")[2].cast("int")
     elements = lines("Elements").select(F.col("p")[0].cast("int").alias("id"), kind.alias("kind"), F.transform(F.slice("p", tags + 4, F.size("p")), lambda x: x.cast("int")).alias("nodes")).filter("kind is not null")
     return nodes, elements
+
+
+def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+
+
+def write_levels(fragments: DataFrame, folder: str, parts: int = 1) -> DataFrame:
+    """Fragments one after the other, in files of a level (``parts`` of them), planes in order; a row per fragment with its file, offset and size.
+
+    A file bears its attempt's name, and only what the returned table names counts: write that table before reading.
+    """
+
+    def write(batches):
+        (fs, base), now, out = _open(folder), None, None
+        fs.create_dir(base, recursive=True)
+        for batch in batches:
+            names, offsets = [], []
+            for level, part, payload in zip(batch["level"].to_pylist(), batch["part"].to_pylist(), batch["payload"].to_pylist(), strict=True):
+                if (level, part) != now:
+                    if out is not None:
+                        out.close()
+                    now, name = (level, part), f"level-{level:02d}-{part:05d}-{TaskContext.get().taskAttemptId()}.bin"
+                    out = fs.open_output_stream(f"{base}/{name}", compression=None)
+                names.append(name)
+                offsets.append(out.tell())
+                out.write(payload)
+            keep = [c for c in batch.schema.names if c not in ("payload", "part")]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(names, pa.string()), pa.array(offsets, pa.int64())], names=[*keep, "file", "offset"])
+        if out is not None:
+            out.close()
+
+    rows = fragments.withColumn("part", F.pmod(F.xxhash64("block_id"), F.lit(parts)).cast("int"))
+    kept = [f"`{c}` {t}" for c, t in rows.dtypes if c not in ("payload", "part")]
+    return rows.repartition("level", "part").sortWithinPartitions("level", "part", "bitplane", "block_id").mapInArrow(write, ", ".join([*kept, "file string", "offset long"]))
+
+
+def read_ranges(index: DataFrame, folder: str) -> DataFrame:
+    """The fragments of an index (or of what a request left of it), by byte ranges; payload instead of file and offset."""
+
+    def read(batches):
+        (fs, base), now, handle = _open(folder), None, None
+        for batch in batches:
+            payloads = []
+            for name, offset, size in zip(batch["file"].to_pylist(), batch["offset"].to_pylist(), batch["size"].to_pylist(), strict=True):
+                if name != now:
+                    if handle is not None:
+                        handle.close()
+                    now, handle = name, fs.open_input_file(f"{base}/{name}")
+                handle.seek(offset)
+                payloads.append(handle.read(size))
+            keep = [c for c in batch.schema.names if c not in ("file", "offset")]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(payloads, pa.binary())], names=[*keep, "payload"])
+        if handle is not None:
+            handle.close()
+
+    kept = [f"`{c}` {t}" for c, t in index.dtypes if c not in ("file", "offset")]
+    return index.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(read, ", ".join([*kept, "payload binary"]))
+
+
+def write_raw(blocks: DataFrame, folder: str, dtype: str = "<f8") -> DataFrame:
+    """A raw file per block (block_id, data); a row per file with its size. Written under the attempt's name, then renamed, so a repeated task leaves whole files."""
+
+    def write(batches):
+        fs, base = _open(folder)
+        fs.create_dir(base, recursive=True)
+        for pdf in batches:
+            sizes = []
+            for block, data in zip(pdf["block_id"], pdf["data"], strict=True):
+                raw, own = np.asarray(data, float).astype(dtype).tobytes(), f"{base}/.{block}-{TaskContext.get().taskAttemptId()}"
+                with fs.open_output_stream(own, compression=None) as out:
+                    out.write(raw)
+                fs.move(own, f"{base}/{block}.bin")
+                sizes.append(len(raw))
+            yield pd.DataFrame({"block_id": pdf["block_id"], "bytes": sizes})
+
+    return blocks.select("block_id", "data").mapInPandas(write, "block_id long, bytes long")

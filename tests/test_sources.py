@@ -59,3 +59,30 @@ def test_stream(spark, sf_dir, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 15
     stats = window_stats(spark.readStream.schema(schema).parquet(str(tmp_path / "in")).selectExpr("cast(ts as timestamp) as ts", "value"), "ts", "value")
     assert stats.isStreaming
+
+
+def test_level_files_and_raw_files(spark, tmp_path):
+    """Fragments in files of a level come back by ranges, those of a request only; raw blocks come back as they were."""
+    data = spark.createDataFrame([(i, random_field((40 + i,)).tolist()) for i in range(5)], "block_id long, data array<double>")
+    for codec in ("raw", "zstd", "adaptive"):
+        fragments = fields.refactor(data, level_codec=codec)
+        files.write_levels(fragments, f"file://{tmp_path}/{codec}", parts=2).write.parquet(f"{tmp_path}/{codec}-index")
+        index = spark.read.parquet(f"{tmp_path}/{codec}-index")
+        want = {(r["block_id"], r["level"], r["bitplane"]): bytes(r["payload"]) for r in fragments.collect()}
+        got = {(r["block_id"], r["level"], r["bitplane"]): bytes(r["payload"]) for r in files.read_ranges(index, f"file://{tmp_path}/{codec}").collect()}
+        assert got == want and index.select("file").distinct().count() == 2 * index.select("level").distinct().count()
+        for s in (None, 0.0, 1.0):
+            plan = fields.request(index, 1e-3, s)
+            part = files.read_ranges(index.join(plan, ["block_id", "level"]).filter("bitplane < planes").drop("planes"), f"file://{tmp_path}/{codec}")
+            back = {r["block_id"]: r["data"] for r in fields.refine(part, plan).collect()}
+            assert all(np.abs(np.array(back[i]) - random_field((40 + i,))).max() < 0.1 for i in range(5))
+    assert files.write_raw(data, f"{tmp_path}/raw-files").agg({"bytes": "sum"}).first()[0] == 8 * sum(40 + i for i in range(5))
+    read = sorted((len(r["data"]), r["data"]) for r in files.read_raw(spark, f"{tmp_path}/raw-files/*.bin").collect())
+    assert read == sorted((len(r["data"]), r["data"]) for r in data.collect())
+
+
+def test_adaptive_planes():
+    rng = np.random.default_rng(3)
+    words = [b"\0" * 400, rng.bytes(400), b"\0" * 400, *[rng.bytes(400)] * 23, b"\0" * 400]
+    got = fields._adaptive(words)
+    assert [c for c, _ in got] == ["zstd", *["raw"] * 25, "zstd"] and got[2][1] == words[2]
