@@ -15,7 +15,10 @@ the join runs over the distinct sets:
    Both give links in number proportional to the bucket, never all pairs;
 4. connected candidates form a family. Within a family every pair is compared
    exactly, on the shingles themselves, in blocks of bounded size: a pair that
-   some run missed is still found there;
+   some run missed is still found there. In a family of several blocks all sets
+   are compared with one of them first; two sets that both lie close enough to
+   it are similar whatever else they hold, so these are counted, not paired,
+   and their shingles aren't copied to each other's blocks;
 5. the links that hold connect classes.
 
 Result: a row per document with its class (the smallest doc_id in it) and its
@@ -188,6 +191,55 @@ def _pair_blocks(sizes: DataFrame) -> DataFrame:
     return sizes.join(total, "root").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
 
 
+def _close(threshold: float):
+    """Whether each set of a block lies so close to the family's pivot (the key's first row) that any two such sets are similar.
+
+    With t shingles of pivot P missing and e others, two sets share |P| - t - t'
+    or more and have |P| + e + e' at most together.
+    """
+    per_mille = round(threshold * 1000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pivot = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            rids, close = [], []
+            for key, is_pivot, rid, raw in zip(batch["key"].to_pylist(), batch["pivot"].to_pylist(), batch["rid"].to_pylist(), batch["shingles"].to_pylist(), strict=True):
+                own = np.frombuffer(raw, np.uint64)
+                if is_pivot:
+                    now, pivot = key, own
+                    continue
+                if key != now:
+                    raise ValueError(f"block {key} has no pivot")
+                shared = len(np.intersect1d(pivot, own, assume_unique=True))
+                far = 1000 * (len(pivot) - shared) + per_mille * (len(own) - shared)
+                rids.append(rid)
+                close.append(2 * far <= (1000 - per_mille) * len(pivot))
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(close, pa.bool_())], names=["rid", "close"])
+
+    return run
+
+
+def _large_families(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of families with several blocks: rows with blocks anew and the blocks that each must meet, and the links of sets close to their pivot."""
+    n, size = shuffle_partitions(rows.sparkSession), F.octet_length("shingles") / 8
+    pivots = stage(rows.groupBy("root").agg(F.min_by("rid", F.xxhash64("rid")).alias("first"), F.max("blocks").alias("blocks")), "jaccard-pivots")
+    copies = rows.join(pivots.select(F.col("first").alias("rid")), "rid").select("rid", "shingles", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("pivot"))
+    both = copies.unionByName(rows.select("rid", "shingles", "root", "block", F.lit(False).alias("pivot"))).select(F.concat_ws(":", "root", "block").alias("key"), "pivot", "rid", "shingles")
+    close = stage(both.repartition(n, "key").sortWithinPartitions("key", F.desc("pivot")).mapInArrow(_close(threshold), "rid long, close boolean"), "jaccard-close")
+    sets = stage(rows.select("rid", "root", "copies", size.alias("size")).join(close, "rid"), "jaccard-large")
+    parts = lambda keep: F.ceil(F.greatest(F.sum(F.when(keep, F.col("size"))) / BLOCK_SHINGLES, F.count_if(keep) / BLOCK_SETS))
+    shape = sets.groupBy("root").agg(F.coalesce(parts(~F.col("close")), F.lit(0)).cast("int").alias("far_blocks"), F.coalesce(parts(F.col("close")), F.lit(0)).cast("int").alias("close_blocks"), F.coalesce(F.sum(F.when(F.col("close"), F.col("copies"))), F.lit(0)).alias("close_copies"))
+    sets = stage(sets.join(shape, "root").join(pivots.select("root", "first"), "root"), "jaccard-large-sets")
+    near = sets.filter("close")
+    links = near.select(F.col("rid").alias("a"), F.lit(None).cast("long").alias("b"), (F.col("close_copies") - F.col("copies")).alias("n")).filter("n > 0")
+    links = links.unionByName(near.filter("rid != first").select(F.col("first").alias("a"), F.col("rid").alias("b"), F.lit(0).cast("long").alias("n")))
+    place = lambda of: F.pmod(F.xxhash64("rid"), F.greatest(of, F.lit(1))).cast("int")
+    block = F.when(F.col("close"), F.col("far_blocks") + place(F.col("close_blocks"))).otherwise(place(F.col("far_blocks")))
+    meets = F.when(F.col("close"), F.col("far_blocks")).otherwise(F.col("far_blocks") + F.col("close_blocks"))
+    placed = sets.select("rid", block.alias("block"), meets.alias("blocks")).filter("blocks > 0")
+    return rows.drop("block", "blocks").join(placed, "rid"), links
+
+
 def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     """Entries of a boolean matrix that connect all rows and columns that its entries connect."""
     seen_rows, seen_cols, out = np.zeros(linked.shape[0], bool), np.zeros(linked.shape[1], bool), []
@@ -316,10 +368,14 @@ def join(documents: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -
         rows = stage(rows, "jaccard-sets")
         if not all_rows.groupBy("doc_id", "th").count().filter("count > 1").isEmpty():
             rows = rows.dropDuplicates(["rid"])
+        links = None
+        if not rows.filter("blocks > 1").isEmpty():
+            large, links = _large_families(rows.filter("blocks > 1"), threshold)
+            rows = rows.filter("blocks = 1").unionByName(large.select(rows.columns))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         pairs = rows.select("*", other).select(F.concat_ws(":", "root", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "rid", F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "copies", "shingles", (F.col("block") == F.col("other")).alias("own"))
         n = shuffle_partitions(documents.sparkSession)
-        found = stage(pairs.repartition(n, "key").sortWithinPartitions("key", "rid").mapInArrow(_compare(threshold), "a long, b long, n long"), "jaccard-found")
+        found = stage(pairs.repartition(n, "key").sortWithinPartitions("key", "rid").mapInArrow(_compare(threshold), "a long, b long, n long").unionByName(links if links is not None else documents.sparkSession.createDataFrame([], "a long, b long, n long")), "jaccard-found")
         counts = found.filter("b is null").groupBy(F.col("a").alias("rid")).agg(F.sum("n").alias("linked"))
         joined = components(found.filter("b is not null").select("a", "b")).select(F.col("node").alias("rid"), "root")
         members = stage(distinct.join(joined, "rid", "left").join(counts, "rid", "left").withColumn("root", F.coalesce("root", "rid")), "jaccard-members")

@@ -94,6 +94,34 @@ def test_jaccard_large_buckets(spark, monkeypatch):
         assert got[i][0] == (0 if i < 60 else i)
 
 
+def test_jaccard_large_families(spark, monkeypatch):
+    """A family of many blocks: near copies close to its pivot, others far from it, copies of both, and repeated rows."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 4000)
+    rng, base = np.random.default_rng(9), [f"b{j}" for j in range(200)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for k in rng.integers(0, 200, int(rng.integers(0, 5)) if i % 3 else 1):
+            t[k] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    rows += [(200 + i, rows[i][1]) for i in range(0, 60, 4)] + [rows[3], rows[3], (400, " ".join(base[:180])), (401, " ".join(base + ["more"] * 3))]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    linked = np.array([[1000 * len(a & b) >= 800 * len(a | b) for a in sets] for b in sets])
+    want = collections.Counter((i, n - 1) for (i, _), n in zip(rows, linked.sum(1).tolist(), strict=True))
+    seen, large = [], jaccard._large_families
+
+    def counted(*a):
+        out = large(*a)
+        seen.append((out[0].count(), out[1].filter("b is not null").count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_large_families", counted)
+    got = jaccard.join(documents(spark, rows)).collect()
+    assert collections.Counter((r["doc_id"], r["n_links"]) for r in got) == want
+    assert linked.all(1).sum() < len(rows) and {r["class_id"] for r in got} == {0}
+    assert seen and seen[0][1] > 40
+
+
 def test_jaccard_meets_in_split_buckets(spark, monkeypatch):
     """Pairs of similarity 0.8, all with one boilerplate of 70 % of their union, meet in some bucket."""
     rng, held, buckets = np.random.default_rng(11), [], jaccard.buckets
