@@ -42,14 +42,14 @@ def domain_cubes(spark, d):
 
 
 @query(f"""with {_FIELD}, b as (select *, (c >= 5)::int + (c >= 25)::int + (c >= 57)::int as block_id from f)
-    select block_id, c - [0, 5, 25, 57][block_id + 1] as "offset", count(*) as nodes, round(max(v), 6) as top from b group by all""")
+    select block_id, cast(c - [0, 5, 25, 57][block_id + 1] as int) as "offset", count(*) as nodes, round(max(v), 6) as top from b group by all""")
 def domain_variable(spark, d):
     """Blocks of given sizes along one side."""
     rows = domains.in_variable_blocks(_field(spark, d), "c", [5, 20, 32])
     return rows.groupBy("block_id", "offset").agg(F.count("*").alias("nodes"), r6(F.max("v"), "top"))
 
 
-@query(f"with {_FIELD} select r, c, round(case when r >= 10 and r < 90 and c >= 8 and c < 24 then -2 * v else v end, 6) as v from f")
+@query(f"with {_FIELD} select r, cast(c as int) as c, round(case when r >= 10 and r < 90 and c >= 8 and c < 24 then -2 * v else v end, 6) as v from f")
 def copy_subdomain(spark, d):
     """A box is taken out, changed, and put back."""
     field, bounds = _field(spark, d), {"r": (10, 90), "c": (8, 24)}
