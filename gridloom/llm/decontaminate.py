@@ -7,9 +7,8 @@
    documents there are: words outside the benchmark all weigh ``STRANGE``, and
    a word in fewer than about ``LEAST_SHARE`` of the documents gains no more.
 2. Passages (overlapping runs of 48 words) are weighted by TF-IDF, and a
-   randomised SVD of them and of the items, its products made by the cluster's
-   tasks, gives the latent space. The basis is fitted on the passages of a
-   bounded, hash-picked sample of documents (about ``fit_passages``).
+   randomised SVD of all of them and of the items, its products made by the
+   cluster's tasks, gives the latent space.
 3. Every passage of every document is compared with every item in that space.
    Projection and product are linear, so each word's part of each product is
    one number, and passages are sums of them; where the cosine with an item
@@ -32,7 +31,7 @@ Empty tables give no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +49,8 @@ BLOCK_ITEMS = 200
 LEAST_SHARE = 1e-4
 STRANGE = 3.0
 HITS = 20_000
+RUNS = 512
+PIECE = 1_024
 
 
 def in_order(item: list[int], passage: np.ndarray) -> int:
@@ -114,7 +115,7 @@ def document_frequencies(documents: DataFrame, words: list[bytes]) -> tuple[np.n
         for chunk in word_chunks(batches, "text"):
             found = numbers(*normal_hashes(chunk)).astype(np.int64)
             held += np.bincount(np.unique(chunk.owner() * len(held) + found) % len(held), minlength=len(held))
-            n, parts = n + chunk.n, parts + int(np.maximum(1, -(-chunk.counts // SEGMENT)).sum())
+            n, parts = n + chunk.n, parts + int(np.maximum(1, -(-chunk.counts // SEGMENT) - SPAN + 1).sum())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-2, len(words) + 1)), pa.array(np.concatenate([[n, parts], held]))], names=["word", "n"])
 
     # a row per benchmark word: the block of items bounds them
@@ -154,59 +155,108 @@ def sample_passages(documents: DataFrame, words: list[bytes], share: float) -> D
     return chosen.mapInArrow(pick, "words array<int>")
 
 
-def _weighted(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, word, weight of the batch's passages, rows of length one."""
-    lists = batch["words"]
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-    row, word = np.repeat(np.arange(len(sizes)), sizes), lists.flatten().to_numpy()
-    weight = idf[word]
-    size = np.sqrt(np.bincount(row, weight**2, minlength=len(sizes)))
-    return row, word, weight / np.maximum(size[row], 1e-12)
-
+def _segments(chunk: Words, counts: np.ndarray) -> np.ndarray:
+    """The segment of each word, for ``counts`` segments in each text."""
+    place = np.arange(chunk.first[-1]) - np.repeat(chunk.first[:-1], chunk.counts)
+    return np.repeat(np.cumsum(counts) - counts, chunk.counts) + place // SEGMENT
+
+
+def run_sums(table: np.ndarray, index: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``table[index]`` over runs that begin at ``starts`` (``np.add.reduceat``, but by whole rows)."""
+    sizes = np.diff(starts, append=len(index))
+    if sizes.max(initial=0) > SEGMENT:
+        # long runs in parts, then the parts
+        parts = -(-sizes // SEGMENT)
+        cuts = np.cumsum(parts) - parts
+        inner = run_sums(table, index, np.repeat(starts - SEGMENT * cuts, parts) + SEGMENT * np.arange(int(parts.sum())))
+        return run_sums(inner, np.arange(len(inner)), cuts)
+    out, order = np.empty((len(starts), table.shape[1]), table.dtype), np.argsort(-sizes, kind="stable")
+    for lo in range(0, len(order), RUNS):
+        own = order[lo : lo + RUNS]
+        at, size = starts[own], sizes[own]
+        total = table[index[at]]
+        for j in range(1, int(size[0])):
+            more = int(np.searchsorted(-size, -j))
+            total[:more] += table[index[at[:more] + j]]
+        out[own] = total
+    return out
 
-def latent_space(passages: DataFrame, idf: np.ndarray, items: list[list[int]], weight: float, rank: int = RANK, rounds: int = 1, seed: int = 0) -> np.ndarray:
-    """Right singular vectors (words x rank) of the TF-IDF passages, by a randomised range finder with power rounds.
 
-    A round computes A'(A Q) with one pass: every task sums its passages' part.
+def _moved(documents: DataFrame, words: list[bytes], idf: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A'(A Q) for the TF-IDF passages A of all documents, rows of length one, in one pass: every task sums its passages' part."""
+    table, square = (q * idf[:, None]).astype(np.float32), idf**2
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number_of, out = Numbers(words), np.zeros(table.shape)
+        for chunk in word_chunks(batches, "text", 1 << 18):
+            found = number_of(*normal_hashes(chunk))
+            hits = np.flatnonzero(found)
+            if not len(hits):
+                continue
+            # short texts get empty segments: every passage has SPAN of them
+            counts = np.maximum(SPAN, -(-chunk.counts // SEGMENT))
+            word, segment, n = found[hits], _segments(chunk, counts)[hits], int(counts.sum())
+            starts = np.flatnonzero(np.diff(segment, prepend=-1))
+            sums = np.zeros((n, table.shape[1]), np.float32)
+            sums[segment[starts]] = run_sums(table, word, starts)
+            squares = np.bincount(segment, square[word], n)
+            size = sum(squares[j : n - SPAN + 1 + j] for j in range(SPAN))
+            inner = sum(sums[j : n - SPAN + 1 + j] for j in range(SPAN))
+            # no passage begins in the last segments of a text
+            ends = np.cumsum(counts)[:-1]
+            for j in range(1, SPAN):
+                size[ends - j] = 0
+            inner *= np.divide(1, size, out=np.zeros_like(size), where=size > 0).astype(np.float32)[:, None]
+            # a word adds to its row what all passages over its segment have
+            sums[:] = 0
+            for j in range(SPAN):
+                sums[j : n - SPAN + 1 + j] += inner
+            order = np.argsort(word.astype(np.uint16) if len(idf) <= 1 << 16 else word, kind="stable")
+            starts = np.flatnonzero(np.diff(word[order], prepend=-1))
+            out[word[order[starts]]] += run_sums(sums, segment[order], starts)
+        yield from pieces(out[lo : lo + PIECE] for lo in range(0, len(out), PIECE))
+
+    def pieces(sums: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for i, x in enumerate(sums):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["piece", "v"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(table.shape)
+        for batch in batches:
+            for i, v in zip(batch["piece"].to_pylist(), batch["v"], strict=True):
+                out[i * PIECE : (i + 1) * PIECE] += np.frombuffer(v.as_buffer(), np.float32).reshape(-1, out.shape[1])
+        yield from pieces(out[lo : lo + PIECE] for lo in range(0, len(out), PIECE))
+
+    parts = stage(documents.select(F.col("text").cast("string")).mapInArrow(part, "piece int, v binary"), "decon-parts")
+    # the driver adds what at most four tasks have added, a piece at a time
+    sums = stage(parts.coalesce(4).mapInArrow(add, "piece int, v binary"), "decon-sums")
+    drop_staged(parts)
+    y = np.zeros(q.shape)
+    for i, v in sums.toLocalIterator(prefetchPartitions=False):
+        y[i * PIECE : (i + 1) * PIECE] += np.frombuffer(v, np.float32).reshape(-1, y.shape[1])
+    drop_staged(sums)
+    return y * idf[:, None]
+
+
+def latent_space(documents: DataFrame, words: list[bytes], idf: np.ndarray, items: list[list[int]], weight: float, rank: int = RANK, seed: int = 0) -> np.ndarray:
+    """Right singular vectors (words x rank) of the TF-IDF passages of all documents, by a randomised range finder.
+
+    One pass gives Y = A'A Q for random Q; the singular vectors are those of
+    Y (Q'Y)^-1 Y', which is A'A on the space that Y spans.
     The items stand below the passages as further rows, each with ``weight``, so
     that the space holds what tells them apart.
     """
     width = min(rank + OVERSAMPLE, len(idf))
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(idf), width)))[0]
-    own = pa.RecordBatch.from_arrays([pa.array(items, pa.list_(pa.int32()))], names=["words"])
-
-    def product(batch: pa.RecordBatch, q: np.ndarray, out: np.ndarray, scale: float = 1.0) -> None:
-        row, word, w = _weighted(batch, idf)
-        if not len(row):
-            return
-        inner = np.zeros((len(batch), q.shape[1]))
-        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        inner[row[starts]] = np.add.reduceat(q[word] * w[:, None], starts, axis=0)
-        order = np.argsort(word, kind="stable")
-        sorted_words = word[order]
-        starts = np.flatnonzero(np.r_[True, sorted_words[1:] != sorted_words[:-1]])
-        out[sorted_words[starts]] += scale * np.add.reduceat(inner[row[order]] * w[order][:, None], starts, axis=0)
-
-    def times(q: np.ndarray):
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(q.shape)
-            for whole in batches:
-                for at in range(0, len(whole), 500):
-                    product(whole.slice(at, 500), q, out)
-            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], names=["v"])
-
-        return part
-
-    for _ in range(rounds + 1):
-        y = np.zeros(q.shape)
-        product(own, q, y, weight)
-        # the sample is bounded, and so are its parts: one from each of at most four tasks
-        for (v,) in passages.coalesce(4).mapInArrow(times(q), "v binary").toLocalIterator():
-            y += np.frombuffer(v, np.float32).reshape(q.shape)
-        previous, q = q, np.linalg.qr(y)[0]
-    # Q'A'A Q is small: its singular vectors turn Q into those of A
-    u, _, _ = np.linalg.svd(previous.T @ y)
-    return previous @ u[:, : min(rank, width)]
+    y = _moved(documents, words, idf, q)
+    for own in items:
+        w = idf[own] / np.sqrt((idf[own] ** 2).sum())
+        np.add.at(y, own, weight * w[:, None] * (w @ q[own]))
+    inner = q.T @ y
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    # directions that no row has are noise
+    some = values > 1e-6 * values[-1]
+    return np.linalg.svd(y @ (vectors[:, some] / np.sqrt(values[some])), full_matrices=False)[0][:, :rank]
 
 
 def _contiguous(item: list[int], passage: np.ndarray) -> bool:
@@ -216,19 +266,12 @@ def _contiguous(item: list[int], passage: np.ndarray) -> bool:
 def _products(chunk: Words, found: np.ndarray, table: np.ndarray, square: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The passages' products with all items, and their lengths: sums over segments, and sums of these."""
     counts = -(-chunk.counts // SEGMENT)
-    first = np.cumsum(counts) - counts
-    place = np.arange(len(found)) - np.repeat(chunk.first[:-1], chunk.counts)
-    segment = np.repeat(first, chunk.counts) + place // SEGMENT
-    n = int(counts.sum())
+    segment, n = _segments(chunk, counts), int(counts.sum())
     sums, squares = np.zeros((n + SPAN, table.shape[1]), np.float32), np.bincount(segment, square[found], n + SPAN)
     hits = np.flatnonzero(found)
-    # no segment is cut in two
-    cuts = np.searchsorted(segment[hits], segment[hits[::HITS]]) if len(hits) else []
-    for lo, hi in zip(cuts, [*cuts[1:], len(hits)], strict=True):
-        if lo < hi:
-            part = segment[hits[lo:hi]]
-            starts = np.flatnonzero(np.diff(part, prepend=-1))
-            sums[part[starts]] = np.add.reduceat(table[found[hits[lo:hi]]], starts, axis=0)
+    if len(hits):
+        starts = np.flatnonzero(np.diff(segment[hits], prepend=-1))
+        sums[segment[hits[starts]]] = run_sums(table, found[hits], starts)
     # texts without words have a passage of no segment
     at = np.where(end > begin, segment[np.minimum(begin, max(0, len(segment) - 1))] if len(segment) else 0, n)
     last = np.where(end > begin, -(-(end - begin) // SEGMENT), 1)
@@ -296,17 +339,15 @@ def _match(documents: DataFrame, items: list, words: list[bytes], idf: np.ndarra
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(search, "doc_id long, item_id long, shared double, answer double")
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, cosine: float = 0.15, verbatim: float = 0.8, paraphrase: float = 0.6, answer: float = 0.75, least_words: int = 8, fit_passages: int = 8_000) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, cosine: float = 0.15, verbatim: float = 0.8, paraphrase: float = 0.6, answer: float = 0.75, least_words: int = 8) -> DataFrame:
     """doc_id, item_id, shared (part of the item's words in order) and answer (the same of its last sentence) for every leak."""
     found = None
     for items in read_items(benchmark):
         words = sorted({w for _, own, _ in items for w in own})
         counts, n, parts = document_frequencies(documents, words)
         idf = weights(counts, n)
-        sample = stage(sample_passages(documents, words, min(1.0, fit_passages / max(1, parts))), "decon-passages")
         own = {w: i + 1 for i, w in enumerate(words)}
-        space = latent_space(sample, idf, [[own[w] for w in item] for _, item, _ in items], max(1.0, fit_passages / len(items)))
-        drop_staged(sample)
+        space = latent_space(documents, words, idf, [[own[w] for w in item] for _, item, _ in items], max(1.0, parts / len(items)))
         part = _match(documents, items, words, idf, STRANGE, space, cosine, verbatim, paraphrase, answer, least_words)
         found = part if found is None else found.unionByName(part)
     if found is None:

@@ -684,6 +684,42 @@ def test_leaks_against_the_rule(spark, corpus):
     assert left.filter("doc_id is null").count() == 0 and left.filter("doc_id = 602").count() == 1
 
 
+def test_latent_space_of_all_passages(spark, monkeypatch):
+    """The space that leaks searches in is that of all passages of all documents and of the items, computed densely here."""
+    rng = np.random.default_rng(31)
+    vocabulary = [f"v{x}" for x in range(600)]
+    items = [(k, " ".join(rng.permutation(vocabulary)[:30].tolist())) for k in range(30)]
+    docs = []
+    for i in range(24):
+        # every document has words that are its own
+        theme = rng.permutation(vocabulary)[:40]
+        docs.append((i, " ".join(np.where(rng.random(8000) < 0.6, rng.choice(theme, 8000), [f"s{x}" for x in rng.integers(0, 500, 8000)]).tolist())))
+    docs += [(100, None), (101, ""), (102, "V3, v4 v4 other"), (103, " ".join(vocabulary[:49])), (None, " ".join(vocabulary[100:133]))]
+    seen = []
+    match = decontaminate._match
+    monkeypatch.setattr(decontaminate, "_match", lambda *a: seen.append(a) or match(*a))
+    decontaminate.leaks(documents(spark, docs).repartition(6), spark.createDataFrame(items, "item_id long, text string"))
+    ((_, _, known, idf, _, space, *_),) = seen
+    number = {w: i + 1 for i, w in enumerate(known)}
+    rows = []
+    for _, text in docs:
+        own = [number.get(decontaminate.normal(w), 0) for w in (text or "").encode().split()]
+        rows += [own[at : at + 48] for at in range(0, 16 * max(1, -(-len(own) // 16) - 2), 16)]
+    n = len(rows)
+    rows += [[number[decontaminate.normal(w)] for w in text.encode().split()] for _, text in items]
+    dense = np.zeros((len(rows), len(idf)))
+    for a, own in zip(dense, rows, strict=True):
+        np.add.at(a, own, idf[own])
+        a /= max(1e-12, np.sqrt((idf[own] ** 2).sum()))
+    dense[n:] *= np.sqrt(n / len(items))
+    assert n > 10_000 and np.allclose(space.T @ space, np.eye(space.shape[1]), atol=1e-4)
+    start = np.linalg.qr(np.random.default_rng(0).normal(size=(len(idf), 240)))[0]
+    whole = np.linalg.qr(dense.T @ (dense @ start))[0]
+    assert np.linalg.norm(space - whole @ (whole.T @ space), axis=0).max() < 1e-2
+    best = np.linalg.svd(dense @ whole, compute_uv=False)[: space.shape[1]]
+    assert (np.linalg.norm(dense @ space) / np.linalg.norm(best)) ** 2 > 0.98
+
+
 def test_in_order():
     rng = np.random.default_rng(0)
     for _ in range(50):
