@@ -140,21 +140,6 @@ def passages(chunk: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, begin, np.minimum(begin + SEGMENT * SPAN, chunk.first[owner + 1])
 
 
-def sample_passages(documents: DataFrame, words: list[bytes], share: float) -> DataFrame:
-    """Benchmark word numbers of all passages of a hash-picked share of documents."""
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(words)
-        for chunk in word_chunks(batches, "text"):
-            found, (_, begin, end) = numbers(*normal_hashes(chunk)), passages(chunk)
-            own, size = found[spread(begin, end - begin)], end - begin
-            kept = np.concatenate([[0], np.cumsum(own > 0)])[np.concatenate([[0], np.cumsum(size)])]
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pa.array(own[own > 0]))], names=["words"])
-
-    chosen = documents.select(F.col("text").cast("string")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
-    return chosen.mapInArrow(pick, "words array<int>")
-
-
 def _segments(chunk: Words, counts: np.ndarray) -> np.ndarray:
     """The segment of each word, for ``counts`` segments in each text."""
     place = np.arange(chunk.first[-1]) - np.repeat(chunk.first[:-1], chunk.counts)

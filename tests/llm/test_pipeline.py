@@ -98,3 +98,23 @@ def test_pipeline_of_nothing(spark, tmp_path):
     documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "an item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_decontamination_of_all_passages(spark, tmp_path, monkeypatch):
+    """The stage's latent space depends on the words of all texts alone, not on which texts a hash of them picks."""
+    rng = np.random.default_rng(41)
+    vocabulary = [f"v{x}" for x in range(600)]
+    items = [(k, " ".join(rng.permutation(vocabulary)[:30].tolist())) for k in range(30)]
+    texts = []
+    for _ in range(24):
+        theme = rng.permutation(vocabulary)[:40]
+        texts.append(np.where(rng.random(8000) < 0.6, rng.choice(theme, 8000), [f"s{x}" for x in rng.integers(0, 500, 8000)]).tolist())
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen = []
+    match = decontaminate._match
+    monkeypatch.setattr(decontaminate, "_match", lambda *a: seen.append(a[5]) or match(*a))
+    for space in (" ", "  ", "\n"):
+        docs = documents(spark, [(i, space.join(t)) for i, t in enumerate(texts)])
+        assert corpus_pipeline.decontamination(spark, docs, str(tmp_path)).count() == len(texts)
+    one, *others = [s @ s.T for s in seen]
+    assert len(others) == 2 and all(np.abs(one - x).max() < 0.01 for x in others)
