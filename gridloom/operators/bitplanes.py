@@ -61,14 +61,15 @@ def greedy(errors: np.ndarray, sizes: np.ndarray, tolerance: float) -> list[int]
     """
     used, left = [0] * len(errors), float(errors[:, 0].sum())
 
+    ends = np.c_[np.zeros(len(sizes), np.int64), np.cumsum(sizes, 1)]
+
     def offer(level: int) -> tuple[float, int, int]:
         # a plane that saves nothing is taken together with those after it
-        best, to = 0.0, used[level] + 1
-        for k in range(used[level] + 1, errors.shape[1]):
-            rate = (errors[level, used[level]] - errors[level, k]) / max(1, sizes[level, used[level] : k].sum())
-            if rate > best:
-                best, to = rate, k
-        return -best, level, to
+        k = used[level]
+        rates = (errors[level, k] - errors[level, k + 1 :]) / np.maximum(1, ends[level, k + 1 :] - ends[level, k])
+        rates = np.where(rates > 0, rates, 0.0)
+        best = int(rates.argmax())
+        return -float(rates[best]), level, k + 1 + best
 
     heap = [offer(level) for level in range(len(errors)) if errors.shape[1] > 1]
     heapq.heapify(heap)

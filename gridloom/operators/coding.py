@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import struct
 import zlib
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 VERSION = (1, 0, 0)
@@ -86,16 +90,20 @@ def _decode_bits(raw: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, code
     return out
 
 
-def _zstd(data: bytes, level: int = 3) -> bytes:
+@functools.cache
+def _zstd_context(level: int | None):
+    """One context a process for each level, None to decompress: making one takes longer than coding a short block."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=level).compress(data)
+    return zstandard.ZstdDecompressor() if level is None else zstandard.ZstdCompressor(level=level)
 
 
-def _unzstd(data: bytes) -> bytes:
-    import zstandard
+def _zstd(data: bytes, level: int = 3) -> bytes:
+    return _zstd_context(level).compress(data)
 
-    return zstandard.ZstdDecompressor().decompress(data)
+
+def _unzstd(data: bytes) -> bytes:
+    return _zstd_context(None).decompress(data)
 
 
 CODECS = {
@@ -113,6 +121,39 @@ def encode(values: np.ndarray, codec: str) -> tuple[str, bytes]:
     return (codec, coded) if len(coded) < 8 * len(values) else ("raw", CODECS["raw"][0](values))
 
 
+#: Entries of arrays, or bytes of payloads, that a Python worker takes apart at a time, and rows at most.
+PIECE, PIECE_ROWS = 1 << 16, 1024
+
+
+def pieces(batches: Iterator[pa.RecordBatch], sizes: Callable[[pa.RecordBatch], Sequence[int]], most: int = PIECE, rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose rows' sizes add up to ``most`` (a larger row comes alone, whole): what a worker makes of them is bounded, however many rows a batch has."""
+    for batch in batches:
+        start, held = 0, 0
+        for i, size in enumerate(sizes(batch)):
+            if i > start and (held + size > most or i - start >= rows):
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += size
+        if batch.num_rows > start:
+            yield batch.slice(start)
+
+
+def entries(column: str) -> Callable[[pa.RecordBatch], list[int]]:
+    """Sizes of the arrays in a column, for ``pieces``."""
+    return lambda batch: pc.fill_null(pc.list_value_length(batch[column]), 0).to_pylist()
+
+
+def arrays(column: pa.Array) -> list[np.ndarray]:
+    """Each row of a column of arrays."""
+    return column.to_pandas().tolist()
+
+
+def lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """Arrays as a column, without an object for each entry."""
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows), kind))
+
+
 def encode_blocks(blocks: DataFrame, codec: str = "huffman+zstd") -> DataFrame:
     """``blocks`` (block_id, q array) as (block_id, codec, payload, raw_bytes); Arrow batches of whole blocks."""
 

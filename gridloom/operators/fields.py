@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gridloom.operators import blocks as B, quantities
 from gridloom.operators.bitplanes import greedy
-from gridloom.operators.coding import CODECS, _unzstd, _zstd, encode, encode_blocks
+from gridloom.operators.coding import CODECS, PIECE, _unzstd, _zstd, arrays, encode, encode_blocks, entries, lists, pieces
 from gridloom.plans.grid import hierarchy
 
 
@@ -30,13 +30,14 @@ def number_in_blocks(df: DataFrame, key: list[str], order: list[str], size: int)
 
 
 def map_blocks(blocks: DataFrame, f, columns: str = "block_id long, data array<double>") -> DataFrame:
-    """``f`` of each block's values, an Arrow batch of blocks at a time."""
+    """``f`` of each block's values, a bounded number of nodes at a time."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"block_id": pdf["block_id"], "data": [np.asarray(f(np.asarray(d, float))).ravel().tolist() for d in pdf["data"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, entries("data")):
+            made = [np.asarray(f(np.asarray(d, float)), float).ravel() for d in arrays(piece["data"])]
+            yield pa.RecordBatch.from_arrays([piece["block_id"], lists(made, pa.float64())], names=["block_id", "data"])
 
-    return blocks.select("block_id", "data").mapInPandas(run, columns)
+    return blocks.select("block_id", "data").mapInArrow(run, columns)
 
 
 def linear_blocks(df: DataFrame, f, column: str = "data", most: int = 64) -> DataFrame:
@@ -65,7 +66,7 @@ def linear_blocks(df: DataFrame, f, column: str = "data", most: int = 64) -> Dat
     return df.mapInArrow(run, df.schema)
 
 
-def _of_one_shape(shapes: list[tuple[int, ...]], most: int = 1 << 20) -> Iterator[tuple[tuple[int, ...], list[int]]]:
+def _of_one_shape(shapes: list[tuple[int, ...]], most: int = PIECE) -> Iterator[tuple[tuple[int, ...], list[int]]]:
     """Each shape with the blocks that have it, as many at a time as ``most`` nodes."""
     held: dict[tuple[int, ...], list[int]] = {}
     for i, own in enumerate(shapes):
@@ -136,29 +137,40 @@ LEVEL_CODECS = {"raw": lambda words: [("raw", w) for w in words], "zstd": lambda
 def refactor(blocks: DataFrame, planes: int = 32, level_codec: str = "zstd") -> DataFrame:
     """A row per fragment (block, level, bit plane): payload and the squared error left without this plane and those after it."""
     store = LEVEL_CODECS[level_codec]
-
-    def one(block_id: int, data: np.ndarray) -> list[tuple]:
-        h, c = hierarchy(data.shape), B.decompose(data)
-        born, rows = h.birth_grid(), []
+    kinds = {"block_id": pa.int64(), "n": pa.int32(), "level": pa.int32(), "bitplane": pa.int32(), "exp": pa.int32(), "elements": pa.int32(), "sq_before": pa.float64(), "sq_after": pa.float64(), "size": pa.int64(), "codec": pa.string(), "payload": pa.binary()}
+
+    def one_level(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[str, bytes]]]:
+        """A row of coefficients for each block: exponents, squared errors by planes kept, and the planes as stored."""
+        a = np.abs(v)
+        top = a.max(1, initial=0)
+        exp = np.where(top != 0, np.frexp(top)[1], 0)[:, None]
+        fp = np.minimum(np.floor(np.ldexp(a, planes - exp)), 2.0**planes - 1).astype(np.int64)
+        words = [np.packbits((fp >> (planes - 1 - plane)) & 1, axis=1) for plane in range(planes)]
+        words[0] = np.c_[np.packbits(v < 0, axis=1), words[0]]
+        left = np.stack([((a - np.ldexp((fp >> (planes - k) << (planes - k)).astype(float), exp - planes)) ** 2).sum(1) for k in range(planes + 1)], 1)
+        return exp.ravel(), left, [x for i in range(len(v)) for x in store([w[i].tobytes() for w in words])]
+
+    def made(ids: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+        """All fragments of blocks of one size."""
+        h, c = hierarchy(data.shape[:1]), B.decompose(data, batch=1)
+        born, parts = h.birth_grid(), []
         for level in range(h.levels + 1):
-            v = c[born == level]
-            top = np.abs(v).max(initial=0)
-            exp = int(np.frexp(top)[1]) if top else 0
-            fp = np.minimum(np.floor(np.ldexp(np.abs(v), planes - exp)), 2.0**planes - 1).astype(np.int64)
-            words = [np.packbits((fp >> (planes - 1 - plane)) & 1).tobytes() for plane in range(planes)]
-            words[0] = np.packbits(v < 0).tobytes() + words[0]
-            left = [float(((np.abs(v) - np.ldexp((fp >> (planes - k) << (planes - k)).astype(float), exp - planes)) ** 2).sum()) for k in range(planes + 1)]
-            for plane, (codec, payload) in enumerate(store(words)):
-                rows.append((block_id, len(data), level, plane, exp, len(v), left[plane], left[plane + 1], len(payload), codec, payload))
-        return rows
-
-    names = ["block_id", "n", "level", "bitplane", "exp", "elements", "sq_before", "sq_after", "size", "codec", "payload"]
+            v = np.ascontiguousarray(c[born == level].T)
+            exp, left, stored = one_level(v)
+            each = lambda x: np.repeat(x, planes)
+            all_of = lambda x: np.full(len(stored), x)
+            payload = [p for _, p in stored]
+            parts.append([each(ids), all_of(len(data)), all_of(level), np.tile(np.arange(planes), len(ids)), each(exp), all_of(v.shape[1]), left[:, :-1].ravel(), left[:, 1:].ravel(), list(map(len, payload)), [x for x, _ in stored], payload])
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(p[k], kind) for p in parts]) for k, kind in enumerate(kinds.values())], names=list(kinds))
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([r for b, d in zip(pdf["block_id"], pdf["data"], strict=True) for r in one(b, np.asarray(d, float))], columns=names)
+        for piece in pieces(batches, entries("data")):
+            ids, data = piece["block_id"].to_numpy(zero_copy_only=False), [np.asarray(d, float) for d in arrays(piece["data"])]
+            # a block has planes times levels fragments: fewer nodes at a time than where it stays a row
+            for _, at in _of_one_shape([d.shape for d in data], PIECE // 4):
+                yield made(ids[at], np.stack([data[i] for i in at], -1))
 
-    return blocks.select("block_id", "data").mapInPandas(run, "block_id long, n int, level int, bitplane int, exp int, elements int, sq_before double, sq_after double, size long, codec string, payload binary")
+    return blocks.select("block_id", "data").mapInArrow(run, "block_id long, n int, level int, bitplane int, exp int, elements int, sq_before double, sq_after double, size long, codec string, payload binary")
 
 
 def request(fragments: DataFrame, tolerance: float, s: float | None = None, dims: int = 1, plan_by=greedy) -> DataFrame:
