@@ -81,8 +81,8 @@ def compress(blocks: DataFrame, shape: tuple[int, ...] | None, tolerance: float,
     """block_id, shape, tolerance, codec, payload: blocks whose decoded values stay within the tolerance of their own norm."""
 
     def run(batches):
-        for pdf in batches:
-            data = [np.asarray(d, float) for d in pdf["data"]]
+        for piece in pieces(batches, entries("data")):
+            data = [np.asarray(d, float) for d in arrays(piece["data"])]
             made: list[tuple] = [()] * len(data)
             for own, at in _of_one_shape([shape or (len(d),) for d in data]):
                 u = np.stack([data[i].reshape(own) for i in at], -1)
@@ -94,29 +94,31 @@ def compress(blocks: DataFrame, shape: tuple[int, ...] | None, tolerance: float,
                 q = q.reshape(-1, len(at))[order]
                 for k, i in enumerate(at):
                     made[i] = (list(own), tau[k], *encode(np.ascontiguousarray(q[:, k]), codec))
-            yield pd.DataFrame({"block_id": pdf["block_id"], "shape": [m[0] for m in made], "tau": [m[1] for m in made], "codec": [m[2] for m in made], "payload": [m[3] for m in made], "raw_bytes": [8 * len(d) for d in data]})
+            columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.list_(pa.int32()), pa.float64(), pa.string(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([piece["block_id"], *columns, pa.array([8 * len(d) for d in data], pa.int64())], names=["block_id", "shape", "tau", "codec", "payload", "raw_bytes"])
 
-    return blocks.select("block_id", "data").mapInPandas(run, "block_id long, shape array<int>, tau double, codec string, payload binary, raw_bytes long")
+    return blocks.select("block_id", "data").mapInArrow(run, "block_id long, shape array<int>, tau double, codec string, payload binary, raw_bytes long")
 
 
 def decompress(coded: DataFrame, s: float = math.inf, stop: int | None = None) -> DataFrame:
     """block_id, data; ``stop``: the level to decode to."""
 
     def run(batches):
-        for pdf in batches:
-            out: list = [[]] * len(pdf)
-            for own, at in _of_one_shape([tuple(map(int, x)) for x in pdf["shape"]]):
+        for piece in pieces(batches, lambda batch: [math.prod(x) for x in batch["shape"].to_pylist()]):
+            codecs, coded, tau = piece["codec"].to_pylist(), piece["payload"].to_pylist(), piece["tau"].to_numpy()
+            out: list = [[]] * len(coded)
+            for own, at in _of_one_shape([tuple(x) for x in piece["shape"].to_pylist()]):
                 order = np.argsort(hierarchy(own).birth_grid().ravel(), kind="stable")
                 q = np.empty((math.prod(own), len(at)))
                 for k, i in enumerate(at):
-                    q[order, k] = CODECS[pdf["codec"][i]][1](pdf["payload"][i])
-                c = q.reshape(*own, len(at)) * (B.quanta(own, 1.0, s)[..., None] * pdf["tau"].to_numpy()[at])
+                    q[order, k] = CODECS[codecs[i]][1](coded[i])
+                c = q.reshape(*own, len(at)) * (B.quanta(own, 1.0, s)[..., None] * tau[at])
                 u = B.recompose(c, stop=stop, batch=1).reshape(-1, len(at))
                 for k, i in enumerate(at):
-                    out[i] = u[:, k].tolist()
-            yield pd.DataFrame({"block_id": pdf["block_id"], "data": out})
+                    out[i] = u[:, k]
+            yield pa.RecordBatch.from_arrays([piece["block_id"], lists(out, pa.float64())], names=["block_id", "data"])
 
-    return coded.select("block_id", "shape", "tau", "codec", "payload").mapInPandas(run, "block_id long, data array<double>")
+    return coded.select("block_id", "shape", "tau", "codec", "payload").mapInArrow(run, "block_id long, data array<double>")
 
 
 def _adaptive(words: list[bytes], least: float = 1.05, resume: int = 26) -> list[tuple[str, bytes]]:

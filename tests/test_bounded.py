@@ -52,3 +52,19 @@ def test_refactor_is_bounded():
     small, large = (held(fields.refactor, blocks(n)) for n in (600, 2400))
     assert (small[2], large[2]) == (600 * 6 * 32, 2400 * 6 * 32)
     assert large[0] < 1.3 * small[0] and large[1] <= 1.3 * small[1]
+
+
+def coded(batch: pa.RecordBatch, step, *args) -> pa.RecordBatch:
+    """All that a step makes of a batch, as the one batch of the next step."""
+    frame = Captured()
+    step(frame, *args)
+    return pa.Table.from_batches(list(frame.run(iter([batch])))).combine_chunks().to_batches()[0]
+
+
+def test_compress_and_decompress_are_bounded():
+    batches = [blocks(n) for n in (2000, 8000)]
+    there = [held(fields.compress, b, None, 0.5, np.inf, "raw") for b in batches]
+    back = [held(fields.decompress, coded(b, fields.compress, None, 0.5, np.inf, "raw")) for b in batches]
+    for small, large in (there, back):
+        assert (small[2], large[2]) == (2000, 8000)
+        assert large[1] <= 1.3 * small[1] and large[0] < 2 * small[0]
