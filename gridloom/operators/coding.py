@@ -9,7 +9,6 @@ import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -143,6 +142,10 @@ def entries(column: str) -> Callable[[pa.RecordBatch], list[int]]:
     return lambda batch: pc.fill_null(pc.list_value_length(batch[column]), 0).to_pylist()
 
 
+def payloads(batch: pa.RecordBatch) -> list[int]:
+    return pc.fill_null(pc.binary_length(batch["payload"]), 0).to_pylist()
+
+
 def arrays(column: pa.Array) -> list[np.ndarray]:
     """Each row of a column of arrays."""
     return column.to_pandas().tolist()
@@ -155,22 +158,35 @@ def lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def encode_blocks(blocks: DataFrame, codec: str = "huffman+zstd") -> DataFrame:
-    """``blocks`` (block_id, q array) as (block_id, codec, payload, raw_bytes); Arrow batches of whole blocks."""
+    """``blocks`` (block_id, q array) as (block_id, codec, payload, raw_bytes); whole blocks, a bounded number of nodes at a time."""
 
     def run(batches):
-        for pdf in batches:
-            made = [encode(np.asarray(q, np.int64), codec) for q in pdf["q"]]
-            yield pd.DataFrame({"block_id": pdf["block_id"], "codec": [c for c, _ in made], "payload": [b for _, b in made], "raw_bytes": [8 * len(q) for q in pdf["q"]]})
+        for piece in pieces(batches, entries("q")):
+            rows = [np.asarray(q, np.int64) for q in arrays(piece["q"])]
+            made = [encode(q, codec) for q in rows]
+            yield pa.RecordBatch.from_arrays([piece["block_id"], pa.array([c for c, _ in made], pa.string()), pa.array([b for _, b in made], pa.binary()), pa.array([8 * len(q) for q in rows], pa.int64())], names=["block_id", "codec", "payload", "raw_bytes"])
 
-    return blocks.select("block_id", "q").mapInPandas(run, "block_id long, codec string, payload binary, raw_bytes long")
+    return blocks.select("block_id", "q").mapInArrow(run, "block_id long, codec string, payload binary, raw_bytes long")
 
 
 def decode_blocks(coded: DataFrame) -> DataFrame:
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"block_id": pdf["block_id"], "q": [CODECS[c][1](b).tolist() for c, b in zip(pdf["codec"], pdf["payload"], strict=True)]})
+    def made(ids: pa.Array, rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, lists(rows, pa.int64())], names=["block_id", "q"])
 
-    return coded.select("block_id", "codec", "payload").mapInPandas(run, "block_id long, q array<long>")
+    def run(batches):
+        for piece in pieces(batches, payloads):
+            start, rows, held = 0, [], 0
+            for i, (c, b) in enumerate(zip(piece["codec"].to_pylist(), piece["payload"].to_pylist(), strict=True)):
+                rows.append(CODECS[c][1](b))
+                held += len(rows[-1])
+                # a short payload may hold many values
+                if held >= PIECE:
+                    yield made(piece["block_id"].slice(start, len(rows)), rows)
+                    start, rows, held = i + 1, [], 0
+            if rows:
+                yield made(piece["block_id"].slice(start), rows)
+
+    return coded.select("block_id", "codec", "payload").mapInArrow(run, "block_id long, q array<long>")
 
 
 def with_header(coded: DataFrame, **fields) -> DataFrame:

@@ -4,8 +4,9 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from gridloom.operators import fields
+from gridloom.operators import coding, fields
 from gridloom.plans.commands import random_field
 
 
@@ -68,3 +69,31 @@ def test_compress_and_decompress_are_bounded():
     for small, large in (there, back):
         assert (small[2], large[2]) == (2000, 8000)
         assert large[1] <= 1.3 * small[1] and large[0] < 2 * small[0]
+
+
+def test_encode_and_decode_are_bounded():
+    batches = [blocks(n, "q") for n in (2000, 8000)]
+    there = [held(coding.encode_blocks, b, "raw") for b in batches]
+    back = [held(coding.decode_blocks, coded(b, coding.encode_blocks, "raw")) for b in batches]
+    for small, large in (there, back):
+        assert (small[2], large[2]) == (2000, 8000)
+        assert large[1] <= 1.3 * small[1] and large[0] < 2 * small[0]
+
+
+def test_short_payloads_of_long_blocks():
+    """A payload of a few bytes may hold many values."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([[7] * 30_000] * 40, pa.list_(pa.int64()))], names=["block_id", "q"])
+    packed = coded(batch, coding.encode_blocks, "zstd")
+    assert packed.nbytes < 10_000
+    frame = Captured()
+    coding.decode_blocks(frame)
+    out = list(frame.run(iter([packed])))
+    assert max(x.nbytes for x in out) < 8 * (coding.PIECE + 30_000) + 1000
+    assert pa.Table.from_batches(out).to_pydict() == batch.to_pydict()
+
+
+@pytest.mark.parametrize("codec", ["zstd", "huffman+zstd"])
+def test_empty_and_long_rows(codec):
+    rows = [[], [1 << 60, -5], list(range(100_000)), [3], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(rows, pa.list_(pa.int64()))], names=["block_id", "q"])
+    assert coded(coded(batch, coding.encode_blocks, codec), coding.decode_blocks).to_pydict() == batch.to_pydict()
