@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -181,15 +180,15 @@ def request(fragments: DataFrame, tolerance: float, s: float | None = None, dims
     Without ``s`` squared errors of coefficients add up; with it each level's weigh as in the s-norm's estimate.
     """
 
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["level", "bitplane"])
-        levels = pdf["level"].nunique()
-        before, after = (pdf[c].to_numpy().reshape(levels, -1) for c in ("sq_before", "sq_after"))
+    def plan(rows: pa.Table) -> pa.Table:
+        level, plane, before, after, size = (rows[c].to_numpy() for c in ("level", "bitplane", "sq_before", "sq_after", "size"))
+        levels, order = len(np.unique(level)), np.lexsort((plane, level))
+        before, after, size = (x[order].reshape(levels, -1) for x in (before, after, size))
         weight = 1.0 if s is None else np.exp2(2 * s * np.arange(levels) + dims * (levels - 1 - np.arange(levels)))[:, None]
-        used = plan_by(weight * np.c_[before, after[:, -1:]], pdf["size"].to_numpy().reshape(levels, -1), tolerance**2)
-        return pd.DataFrame({"block_id": pdf["block_id"].iloc[0], "level": range(levels), "planes": used})
+        used = plan_by(weight * np.c_[before, after[:, -1:]], size, tolerance**2)
+        return pa.table({"block_id": pa.array([rows["block_id"][0].as_py()] * levels, pa.int64()), "level": pa.array(range(levels), pa.int32()), "planes": pa.array(used, pa.int32())})
 
-    return fragments.select("block_id", "level", "bitplane", "sq_before", "sq_after", "size").groupBy("block_id").applyInPandas(plan, "block_id long, level int, planes int")
+    return fragments.select("block_id", "level", "bitplane", "sq_before", "sq_after", "size").groupBy("block_id").applyInArrow(plan, "block_id long, level int, planes int")
 
 
 def refine(fragments: DataFrame, plan: DataFrame, loaded: DataFrame | None = None, planes: int = 32) -> DataFrame:
@@ -202,22 +201,23 @@ def refine(fragments: DataFrame, plan: DataFrame, loaded: DataFrame | None = Non
     # the first plane carries the signs
     chosen = fragments.join(wanted, ["block_id", "level"]).filter((F.col("bitplane") < F.col("to")) & ((F.col("bitplane") >= F.coalesce("from", F.lit(0))) | (F.col("bitplane") == 0)))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["n"].iloc[0])
-        born, c = hierarchy((n,)).birth_grid(), np.zeros(n)
-        for level, rows in pdf.groupby("level"):
-            k, exp, start = int(rows["elements"].iloc[0]), int(rows["exp"].iloc[0]), int(rows["from"].fillna(0).iloc[0])
-            fp, sign, width = np.zeros(k, np.int64), np.ones(k), -(-k // 8)
-            for plane, codec, payload in zip(rows["bitplane"], rows["codec"], rows["payload"], strict=True):
-                raw = np.frombuffer(_unzstd(payload) if codec == "zstd" else payload, np.uint8)
-                if plane == 0:
-                    sign, raw = 1.0 - 2 * np.unpackbits(raw[:width], count=k), raw[width:]
-                if plane >= start:
-                    fp |= np.unpackbits(raw, count=k).astype(np.int64) << (planes - 1 - plane)
+    def one(rows: pa.Table) -> pa.Table:
+        n = rows["n"][0].as_py()
+        born, c, levels = hierarchy((n,)).birth_grid(), np.zeros(n), {}
+        for level, plane, codec, payload, k, exp, start in zip(*(rows[x].to_pylist() for x in ("level", "bitplane", "codec", "payload", "elements", "exp", "from")), strict=True):
+            fp, sign, _ = levels.setdefault(level, [np.zeros(k, np.int64), np.ones(k), exp])
+            raw = np.frombuffer(_unzstd(payload) if codec == "zstd" else payload, np.uint8)
+            if plane == 0:
+                width = -(-k // 8)
+                sign[:], raw = 1.0 - 2 * np.unpackbits(raw[:width], count=k), raw[width:]
+            if plane >= (start or 0):
+                fp |= np.unpackbits(raw, count=k).astype(np.int64) << (planes - 1 - plane)
+        for level, (fp, sign, exp) in levels.items():
             c[born == level] = sign * np.ldexp(fp.astype(float), exp - planes)
-        return pd.DataFrame({"block_id": [pdf["block_id"].iloc[0]], "data": [B.recompose(c).tolist()]})
+        return pa.table({"block_id": rows["block_id"].slice(0, 1), "data": lists([B.recompose(c)], pa.float64())})
 
-    return chosen.groupBy("block_id").applyInPandas(one, "block_id long, data array<double>")
+    needed = chosen.select("block_id", "n", "level", "bitplane", "exp", "elements", "codec", "payload", "from")
+    return needed.groupBy("block_id").applyInArrow(one, "block_id long, data array<double>")
 
 
 def added(before: DataFrame, delta: DataFrame) -> DataFrame:

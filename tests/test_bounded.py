@@ -97,3 +97,10 @@ def test_empty_and_long_rows(codec):
     rows = [[], [1 << 60, -5], list(range(100_000)), [3], []]
     batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(rows, pa.list_(pa.int64()))], names=["block_id", "q"])
     assert coded(coded(batch, coding.encode_blocks, codec), coding.decode_blocks).to_pydict() == batch.to_pydict()
+
+
+def test_refine_sends_only_what_it_reads(spark):
+    """Errors and sizes serve the plan: groups of payloads come to the workers without them."""
+    fragments = fields.refactor(spark.createDataFrame([(1, random_field((33,)).tolist())], "block_id long, data array<double>"))
+    groups = fields.refine(fragments, fields.request(fragments, 0.1))._jdf.queryExecution().optimizedPlan().children().head()
+    assert not {"sq_before", "sq_after", "size", "planes"} & {x.split("#")[0] for x in groups.output().mkString(" ").split()}
